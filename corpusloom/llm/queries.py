@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lines
+from . import bpe, budget, lines, pack
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,5 +14,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("chunk_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    texts = budget.corpus_texts(table(spark, d, "chunks"), table(spark, d, "documents"))
+    return budget.slices(budget.record_tokens(texts))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(pack.token_sizes(table(spark, d, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
