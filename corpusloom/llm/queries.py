@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, budget, lines, pack
+from . import bpe, budget, canon, lines, pack
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     return budget.slices(budget.record_tokens(texts))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.print_alike_pairs(table(spark, d, "chunks"), table(spark, d, "golden"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -27,5 +31,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.token_sizes(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
