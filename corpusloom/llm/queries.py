@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, budget, canon, lines, pack
+from . import bpe, budget, canon, lines, pack, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.print_alike_pairs(table(spark, d, "chunks"), table(spark, d, "golden"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    items = split.regulatory_items(table(spark, d, "chunks"), table(spark, d, "spans"))
+    return split.split_oversized(items, with_text=False).where(F.col("piece") == 1).select("tbl", "item")
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_oversized(split.regulatory_items(table(spark, d, "chunks"), table(spark, d, "spans")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -31,5 +40,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.token_sizes(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
