@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, budget, canon, lines, pack, split
+from . import bpe, budget, canon, lines, pack, split, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("chunk_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns")))
+    return judged.where("cut").select("tbl", "row_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns"))))
+
+
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     texts = budget.corpus_texts(table(spark, d, "chunks"), table(spark, d, "documents"))
     return budget.slices(budget.record_tokens(texts))
@@ -40,5 +49,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.token_sizes(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
