@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, budget, canon, lines, pack, split, truncation
+from . import areas, bpe, budget, canon, lines, pack, split, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,5 +49,17 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.token_sizes(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return areas.document_areas(table(spark, d, "documents")).select("doc_id", "area").distinct()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the documents that have each area."""
+    docs = table(spark, d, "documents")
+    n = docs.agg(F.countDistinct("doc_id").alias("documents"))
+    per = areas.document_areas(docs).groupBy("area").agg(F.countDistinct("doc_id").alias("having"))
+    return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
