@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import areas, bpe, budget, canon, lines, pack, split, truncation
+from . import areas, bpe, budget, canon, language, lines, pack, split, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.print_alike_pairs(table(spark, d, "chunks"), table(spark, d, "golden"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    texts = language.labelled_texts(chunks, table(spark, d, "documents"))
+    return language.found(chunks, table(spark, d, "doc_meta"), texts, lines.recurring_lines(chunks))
+
+
+def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return language.stretches(chunks, language.labelled_words(language.labelled_texts(chunks, table(spark, d, "documents"))))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     items = split.regulatory_items(table(spark, d, "chunks"), table(spark, d, "spans"))
     return split.split_oversized(items, with_text=False).where(F.col("piece") == 1).select("tbl", "item")
@@ -61,5 +72,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
