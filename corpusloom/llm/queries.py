@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import areas, bpe, budget, canon, language, lines, pack, split, truncation
+from . import areas, bpe, budget, canon, language, lines, pack, scan, split, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("chunk_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return scan.scan_noise(chunks, *(table(spark, d, t) for t in ("doc_meta", "ocr_payload", "native_pages")), lines.recurring_lines(chunks))
+
+
+def p2_repair(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repair_gain(*(table(spark, d, t) for t in ("chunks", "doc_meta", "ocr_payload", "native_pages")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     judged = truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns")))
     return judged.where("cut").select("tbl", "row_id")
@@ -72,5 +81,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repair": p2_repair, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
