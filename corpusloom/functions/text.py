@@ -23,10 +23,12 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition (Spark has no such function)."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def nfc(x: Column | str) -> Column:
+    """Canonical composition (Spark has no such function). It can't stand inside a lambda: give it a column of its own."""
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+
+    return F.pandas_udf(compose, "string")(_col(x))
 
 
 @lru_cache(1)
@@ -136,9 +138,9 @@ def strip_page_number(x: Column | str, page: Column | str) -> Column:
     return F.array_join(F.filter(lines, lambda s, i: ~(((i < 2) | (i >= n - 2)) & F.rlike(s, own))), "\n")
 
 
-def clean_page(x: Column | str, compose: bool = True) -> Column:
-    """One page as a paragraph of running text; the order of the steps matters."""
-    y = collapse(strip_page_number_lines(nfc(_col(x)) if compose else _col(x)))
+def clean_page(x: Column | str) -> Column:
+    """One composed page (see nfc) as a paragraph of running text; the order of the steps matters."""
+    y = collapse(strip_page_number_lines(_col(x)))
     for p in C.BOILERPLATE:
         y = F.regexp_replace(y, p, " ")
     y = F.regexp_replace(y, r"(?U)\b(?:Articie|Articte|Artide|Artlcle|Aricle|Arficle)(?=\s*\d)", "Article")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,10 @@ NOT_FOUND = "NOT_FOUND"
 def scope_scores(questions: DataFrame) -> DataFrame:
     """(query_id, inside, outside): the highest cosine to a phrase of each side (36 fixed phrases). `questions`:
     query_id, question; a null question scores 0."""
-    import pandas as pd
-
     sides = (hash_matrix(C.IN_SCOPE), hash_matrix(C.OUT_OF_SCOPE))
 
     @F.pandas_udf("inside double, outside double")
     def score(s: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         def unit(m):
             n = np.sqrt((m * m).sum(1, keepdims=True))
             return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -136,8 +134,6 @@ def status(verdict: Column, abstention: Column, generated: Column) -> Column:
 
 def generate(prompted: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
     """`prompted` (query_id, sources, prompt) with the model's text; a failing batch gives null texts and the error."""
-    import pandas as pd
-
     def run(batches):
         for b in batches:
             try:

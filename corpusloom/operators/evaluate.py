@@ -132,7 +132,7 @@ def accuracy_totals(bench: DataFrame, language: str | None = "fr") -> DataFrame:
 
 def confusion(rows: DataFrame, expected: str, got: str, values: list[str]) -> DataFrame:
     """Counts per expected value, one column per verdict."""
-    return rows.groupBy(expected).pivot(got, values).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(expected).pivot(got, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def quotes_on_pages(golden: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def rate_limited(requests: DataFrame, user: str = "user_id", at: str = "ts", per
     e = requests.dropDuplicates([key]).where(F.col(at).isNotNull())
     if per_minute <= 0:
         return e.select(key, user, F.lit(True).alias("allowed"), F.lit(0.0).alias("wait_s"))
-    import pandas as pd
-
     rate, full = per_minute / 60.0, float(per_minute)
 
     def run(batches):
@@ -47,15 +46,13 @@ def rate_limited(requests: DataFrame, user: str = "user_id", at: str = "ts", per
             yield pd.DataFrame({key: b["k"], user: b["u"], "allowed": ok, "wait_s": wait})
 
     kk, uk = e.schema[key].dataType.simpleString(), e.schema[user].dataType.simpleString()
-    ordered = e.select(F.col(key).alias("k"), F.col(user).alias("u"), (F.unix_micros(at) / 1e6).alias("t")).repartition("u").sortWithinPartitions("u", "t", "k")
+    ordered = e.select(F.col(key).alias("k"), F.col(user).alias("u"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t")).repartition("u").sortWithinPartitions("u", "t", "k")
     return ordered.mapInPandas(run, f"{key} {kk}, {user} {uk}, allowed boolean, wait_s double")
 
 
 def cache_outcomes(requests: DataFrame, cache_key: str, at: str = "ts", ttl_s: float = 600.0, key: str = "event_id") -> DataFrame:
     """(key, cache_key, hit): an entry set on a miss serves until its age passes `ttl_s`; a hit doesn't extend it. The
     entries of one key are folded in time order; the number of entries isn't bounded."""
-    import pandas as pd
-
     e = requests.dropDuplicates([key]).where(F.col(at).isNotNull())
 
     def run(batches):
@@ -71,7 +68,7 @@ def cache_outcomes(requests: DataFrame, cache_key: str, at: str = "ts", ttl_s: f
             yield pd.DataFrame({key: b["k"], cache_key: b["c"], "hit": hit})
 
     kk, ck = e.schema[key].dataType.simpleString(), e.schema[cache_key].dataType.simpleString()
-    ordered = e.select(F.col(key).alias("k"), F.col(cache_key).alias("c"), (F.unix_micros(at) / 1e6).alias("t")).repartition("c").sortWithinPartitions("c", "t", "k")
+    ordered = e.select(F.col(key).alias("k"), F.col(cache_key).alias("c"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t")).repartition("c").sortWithinPartitions("c", "t", "k")
     return ordered.mapInPandas(run, f"{key} {kk}, {cache_key} {ck}, hit boolean")
 
 
