@@ -14,17 +14,17 @@ TABLES = ("chunks", "postings", "corpus_stats")
 
 
 def _current(spark: SparkSession, root: str) -> str | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    return spark.read.text(f"{root}/_CURRENT").first()[0]
+    return spark.read.text(f"{root}/CURRENT").first()[0]
 
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
     """Replace the pointer by renaming a finished file over it."""
     P = spark._jvm.org.apache.hadoop.fs.Path
-    new, now = P(f"{root}/_CURRENT.{version}"), P(f"{root}/_CURRENT")
+    new, now = P(f"{root}/CURRENT.{version}"), P(f"{root}/CURRENT")
     fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))

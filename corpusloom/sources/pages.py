@@ -83,7 +83,7 @@ def guard_cases(cases: DataFrame, golden_set: DataFrame) -> DataFrame:
 
 def yaml_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(file, fields map<string,string>) of flat key: value sidecars below a folder; a null value is absent."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True).text(root)
+    t = spark.read.option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True).text(root, wholetext=True)
     lines = F.filter(F.split("value", "\n"), lambda s: s.rlike(r"^[A-Za-z_0-9]+\s*:"))
     clean = lambda v: F.regexp_replace(F.trim(v), r"^(['\"])(.*)\1$", "$2")
     pairs = F.transform(lines, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("key"), clean(F.regexp_replace(s, r"^[^:]*:", "")).alias("value")))
