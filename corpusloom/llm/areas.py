@@ -81,13 +81,19 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _names(line: str, source: str) -> bool:
+    """Whether the line holds the source's name as a word."""
+    i = line.find(source)
+    return i >= 0 and not line[i - 1 : i].isalnum() and not line[i + len(source) : i + len(source) + 1].isalnum()
+
+
 def _running_text(text: str, title: str, source: str) -> str:
     """The lines of the document without its title and without lines of the site, joined to one line."""
     kept = []
     t, s = fold(title).strip() if title else "", fold(source) if source else ""
     for line in fold(text).split("\n"):
         x = line.strip()
-        if not x or x == t or (s and s in x) or x.count("|") > 1:
+        if not x or x == t or (len(s) > 3 and _names(x, s)) or x.count("|") > 1:
             continue
         if kept and kept[-1][-1] in "-¬" and kept[-1][-2:-1].isalpha():
             kept[-1] = kept[-1][:-1] + x
