@@ -449,6 +449,34 @@ def answered_with_citations(spark: SparkSession, d: str) -> DataFrame:
     return answer.citations(answer.finished(raw, F.lit("")), hits, c)
 
 
+@query()
+def batch_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain over the query set without a model: statuses and sources."""
+    from . import pipeline
+
+    return pipeline.answers(table(spark, d, "chunks"), asked(spark, d), mode="hybrid", min_score=0.01)
+
+
+@query()
+def followup_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Follow-ups whose context is the item before the target: items whose number is divisible by 100."""
+    from . import pipeline
+
+    g = table(spark, d, "golden")
+    n = F.expr("CAST(substr(id, 2) AS BIGINT)")
+    t = g.where((n % 100 == 0) & F.col("answerable")).select("id", F.col("id").alias("target"), F.format_string("g%08d", n + 1).alias("context"), F.lit("@target").alias("followup"), F.lit("follow_up").alias("kind")).distinct()
+    return pipeline.followup_summary(pipeline.followup_ranks(t, g, table(spark, d, "chunks")))
+
+
+@query("""SELECT a.verdict, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT answer_id, CASE WHEN NOT answerable AND abstention != 'none' THEN 'right_abstention' WHEN NOT answerable THEN 'missed_abstention'
+  WHEN abstention != 'none' THEN 'false_abstention' ELSE 'answered' END AS verdict FROM answers) a GROUP BY a.verdict""")
+def abstention_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "answers").dropDuplicates(["answer_id"])
+    no, ab = ~F.col("answerable"), F.col("abstention") != "none"
+    v = F.when(no & ab, "right_abstention").when(no, "missed_abstention").when(ab, "false_abstention").otherwise("answered")
+    return serving.counters(a.select(v.alias("verdict")), "verdict")
+
+
 # ---- corpus, metadata --------------------------------------------------------------------------------------------
 
 
@@ -472,7 +500,7 @@ def period_histogram(spark: SparkSession, d: str) -> DataFrame:
     return metadata.period_histogram(table(spark, d, "doc_meta"))
 
 
-@query("""SELECT source, CAST(count(*) AS BIGINT) AS documents, median(n_chars) AS median_chars, CAST(max(n_chars) AS BIGINT) AS max_chars, CAST(count_if(published >= DATE '2020-01-01') AS BIGINT) AS since_2020 FROM documents GROUP BY source""")
+@query("""SELECT source, CAST(count(*) AS BIGINT) AS documents, median(n_chars) AS median_chars, CAST(max(n_chars) AS BIGINT) AS max_chars, count(*) FILTER (published >= DATE '2020-01-01') AS since_2020 FROM documents GROUP BY source""")
 def source_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.median("n_chars").alias("median_chars"), F.max("n_chars").alias("max_chars"), F.count_if(F.col("published") >= F.lit("2020-01-01").cast("date")).alias("since_2020"))
 

@@ -186,3 +186,41 @@ def test_streams(spark, tmp_path):
     i.processAllAvailable()
     i.stop()
     assert index.count(spark, str(tmp_path / "ix")) == 1
+
+
+def test_pipeline_statuses(spark):
+    from corpusloom.plans import pipeline
+
+    c = _chunks(spark).withColumns({"reference": F.lit("9/W/2098"), "title": F.lit('T & "x"'), "page_start": F.lit(1), "page_end": F.lit(2), "url": F.lit("https://x.y/a.pdf")})
+    q = spark.createDataFrame([("ok", "ratio de solvabilité des banques"), ("hi", "Bonjour"), ("no", "zzz yyy"), ("nil", None)], "query_id string, question string")
+    got = {r["query_id"]: r for r in pipeline.answers(c, q, lambda ps: ["Oui [1] [9]." for _ in ps], with_scope=False, min_score=0.5).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"ok": "answered", "hi": "out_of_scope", "no": "not_found", "nil": "out_of_scope"}
+    assert got["ok"]["cited"] == [1] and got["ok"]["answer"] == "Oui [1]." and got["no"]["abstention"] == "low_score" and got["nil"]["verdict"] == "empty"
+    assert pipeline.answers(c, q, None, with_scope=False, min_score=0.5).where("status = 'sources_only'").count() == 1
+
+
+def test_models(spark):
+    from corpusloom.functions import models
+
+    df = spark.createDataFrame([("a",), (None,), ("bb",)], "t string")
+    assert [r["v"] for r in models.embedded(df, "t", "v", lambda: lambda xs: [[len(x), 1.0] for x in xs], batch=1).collect()] == [[1.0, 1.0], None, [2.0, 1.0]]
+    assert [r["s"] for r in models.scored(df, "t", "t", "s", lambda: lambda q, t: [len(x) for x in t], 1).collect()] == [1.0, 0.0, 1.0]
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert models.retried(flaky, pause=waits.append)() == "ok" and waits == [1.0, 2.0]
+
+
+def test_reports(spark, tmp_path):
+    from corpusloom.operators import reports
+
+    reports.write(str(tmp_path), "R", spark.createDataFrame([("a", 0.5), ("b", None)], "k string, share double"), shares=("share",))
+    assert "| a | 50.0% |" in (tmp_path / "report.md").read_text() and "n/a" in (tmp_path / "report.md").read_text()
+    assert reports.gate(0.8, 0.85) == 1 and reports.gate(0.9, 0.85) == 0
+    with pytest.raises(ValueError):
+        reports.rows_of(spark.range(2000))
