@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_side
-from .forms import fold_table
+from .forms import fold_table, joined
 
 MIN_CHARS = 30
 MIN_SHARE = 0.03
@@ -24,9 +24,15 @@ MAX_WRONG = 2
 #: class needs (and in two). As a share of the files, it bounds the spellings per source whatever the corpus' size.
 ANCHOR_SHARE = 0.25
 
+#: The joined letters that occur in running text; each stands for several.
+_JOINED = "ﬀﬁﬂﬃﬄﻵﻷﻹﻻ"
+
+
 def _folded(text: Column) -> Column:
     kept = {a: b for a, b in fold_table().items() if b}
     gone = [a for a, b in fold_table().items() if not b]
+    for a in _JOINED:
+        text = F.replace(text, F.lit(a), F.lit(joined()[a]))
     return F.translate(text, "".join([*kept, *gone]), "".join(kept.values()))
 
 
