@@ -82,4 +82,21 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repair": p2_repair, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+
+
+def _form_sql(x: str) -> str:
+    """The canonical form of a column, rare joined letters included, as SQL over the whole column."""
+    form, rare = canon.canonical_sql()
+    return f"(SELECT {form} FROM (SELECT CASE WHEN regexp_matches({x}, '{canon._RARE}') THEN {rare.replace('replace(x,', f'replace({x},')} ELSE {x} END AS x))"
+
+
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH c AS (SELECT id, file, text, {_form_sql('text')} AS form FROM (SELECT DISTINCT id, file, text FROM chunks WHERE text IS NOT NULL)),
+      q AS (SELECT id, question AS text, {_form_sql('question')} AS form FROM (SELECT DISTINCT id, question FROM golden WHERE question IS NOT NULL)),
+      e AS (SELECT id, file, quote, {_form_sql('quote')} AS form FROM (SELECT DISTINCT id, evidence.file AS file, evidence.quote AS quote FROM golden WHERE evidence.quote != ''))
+      SELECT DISTINCT 'chunk' AS kind, a.id AS key_a, b.id AS key_b FROM c a JOIN c b USING (form) WHERE a.id < b.id AND a.text != b.text
+      UNION ALL SELECT DISTINCT 'question', a.id, b.id FROM q a JOIN q b USING (form) WHERE a.id < b.id AND a.text != b.text
+      UNION ALL SELECT DISTINCT 'quote', c.id, e.id FROM c JOIN e USING (file) WHERE contains(c.form, e.form) AND NOT contains(c.text, e.quote)""",
+    "p7_found": """SELECT DISTINCT 'chunks' AS tbl, id AS item FROM chunks WHERE length(text) > 1200
+      UNION ALL SELECT DISTINCT 'spans', CAST(span_id AS VARCHAR) FROM spans WHERE length(text) > 1200""",
+}
