@@ -49,16 +49,20 @@ def guarded(questions: DataFrame, with_scope: bool = False, margin: float = 0.0)
 
 
 def with_history(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn_no", keep: int = HISTORY_TURNS) -> DataFrame:
-    """Each turn with its last `keep` earlier turns as an array of (question, answer), oldest first; turns without an
-    answer are no history. Repeated turns count once."""
-    t = turns.dropDuplicates([conversation, turn])
-    useful = F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0, F.struct("question", "answer"))
-    w = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("history", _last(F.collect_list(useful).over(w), keep))
-
+    """Each turn with its last `keep` earlier turns as an array of (question, answer, turn), oldest first; turns without
+    an answer are no history. Repeated turns count once.
 
-def _last(arr: Column, n: int) -> Column:
-    return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), n)
+    A turn with an answer knows the ones before it (lags among its like), and each turn takes over the array of the last
+    one before it: running windows of constant state, whatever the length of a conversation."""
+    t = turns.dropDuplicates([conversation, turn])
+    useful = F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0
+    own = F.struct("question", "answer", F.col(turn).alias("turn"))
+    like = Window.partitionBy(conversation, "_useful").orderBy(turn)
+    upto = F.array_compact(F.array(*[F.lag(own, k).over(like) for k in range(keep - 1, 0, -1)], own))
+    before = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_useful", useful).withColumn("_upto", F.when(F.col("_useful"), upto))
+    none = F.array().cast(t.schema["_upto"].dataType)
+    return t.withColumn("history", F.coalesce(F.last("_upto", ignorenulls=True).over(before), none)).drop("_useful", "_upto")
 
 
 def supported(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,10 +19,30 @@ def mrr(rank: Column, k: int) -> Column:
     return F.coalesce(F.avg(F.when(rank <= k, 1.0 / rank).otherwise(0.0)), F.lit(0.0))
 
 
-def nearest_rank(value: Column, q: float) -> Column:
-    """The value at index round-half-even(q/100 * (n-1)) of the sorted values: exact, for groups of evaluation size."""
-    s = F.sort_array(F.collect_list(value))
-    return F.try_element_at(s, F.bround(F.lit(q / 100) * (F.size(s) - 1), 0).cast("int") + 1)
+#: Groups of up to this many rows are ranked as they are; of larger ones only the rows around the percentile are.
+RANKED_WHOLE = 10_000
+AROUND = 0.0005
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, named: dict[str, float]) -> DataFrame:
+    """(by, one column per name): the value at index round-half-even(q/100 * (n-1)) of each group's sorted values, exact.
+
+    An approximate percentile on either side brackets the place; values below are counted, and only values within the
+    bracket are ranked, so no group is sorted whole in one task. Nulls are left out; a group of nulls gives no row."""
+    v = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    out = None
+    for name, q in named.items():
+        low, high = max(0.0, q / 100 - AROUND), min(1.0, q / 100 + AROUND)
+        g = v.groupBy("_by").agg(F.count("*").alias("n"), F.percentile_approx("_v", [low, high], 10_000).alias("at"))
+        g = g.select(F.col("_by").alias("_g"), F.bround(F.lit(q / 100) * (F.col("n") - 1), 0).cast("bigint").alias("index"), F.when(F.col("n") > RANKED_WHOLE, F.col("at")).alias("at"))
+        j = v.join(g, v["_by"].eqNullSafe(g["_g"])).drop("_g")
+        below = j.where(F.col("_v") < F.col("at")[0]).groupBy(F.col("_by").alias("_g")).agg(F.count("*").alias("below"))
+        inside = j.where(F.col("at").isNull() | F.col("_v").between(F.col("at")[0], F.col("at")[1]))
+        place = F.row_number().over(Window.partitionBy("_by").orderBy("_v")) - 1
+        r = inside.withColumn("place", place).join(below, inside["_by"].eqNullSafe(below["_g"]), "left").where(F.col("place") + F.coalesce("below", F.lit(0)) == F.col("index"))
+        r = r.select("_by", F.col("_v").alias(name))
+        out = r if out is None else out.withColumnRenamed("_by", "_o").join(r, F.col("_o").eqNullSafe(F.col("_by"))).drop("_o")
+    return out.select(F.col("_by").alias(by), *named)
 
 
 def all_evidence(golden: DataFrame) -> DataFrame:
@@ -83,8 +103,9 @@ def fact_scores(answers: DataFrame, golden: DataFrame) -> DataFrame:
     return j.groupBy("answer_id").agg(F.count_if(T.form_found(F.col("ff"), F.col("af"))).alias("facts_found"), F.count("*").alias("facts_total"), F.count_if(found).alias("numbers_found"), F.count_if(numeric).alias("numbers_total"))
 
 
-def answer_summary(answers: DataFrame, by: str | None = None) -> DataFrame:
-    """Answer metrics, each over its own denominator; the latency excludes abstentions by score; empty groups give null."""
+def answer_summary(answers: DataFrame, by: str) -> DataFrame:
+    """Answer metrics per group, each over its own denominator; the latency excludes abstentions by score; an empty
+    denominator gives null."""
     a = answers.dropDuplicates(["answer_id"])
     ok, out = F.col("answerable"), ~F.col("answerable")
     abst = F.col("abstention") != "none"
@@ -98,10 +119,11 @@ def answer_summary(answers: DataFrame, by: str | None = None) -> DataFrame:
         F.round(F.avg(F.when(done, F.col("citation_coverage"))), 6).alias("citation_coverage"), share(abst, ok).alias("false_abstention"), share(abst, out).alias("abstention_accuracy"),
         F.round(F.avg(F.when(judged, F.col("faithfulness"))), 6).alias("faithfulness"), share(F.col("faithfulness") >= 1, judged).alias("fully_faithful"),
         F.round(F.avg(F.when(judged, F.col("correctness"))), 6).alias("correctness"), F.round(F.avg(F.when(judged, F.col("relevance").cast("double"))), 6).alias("relevance"),
-        nearest_rank(F.when(F.col("abstention") != "score", F.col("latency_ms")), 50).alias("latency_p50"), nearest_rank(F.when(F.col("abstention") != "score", F.col("latency_ms")), 95).alias("latency_p95"),
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
     ]
-    return a.groupBy(by).agg(*cols) if by else a.agg(*cols)
+    late = nearest_ranks(a.where("abstention != 'score'"), by, "latency_ms", {"latency_p50": 50, "latency_p95": 95}).withColumnRenamed(by, "_late")
+    out = a.groupBy(by).agg(*cols)
+    return out.join(late, out[by].eqNullSafe(late["_late"]), "left").drop("_late")
 
 
 def page_accuracy(reference: DataFrame, scanned: DataFrame) -> DataFrame:

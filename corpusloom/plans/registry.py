@@ -550,14 +550,10 @@ def upserted_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT DISTINCT ON (conv_id, turn_no) * FROM turns ORDER BY conv_id, turn_no),
  p AS (SELECT *, list(CASE WHEN length(trim(coalesce(answer, ''), ' ')) > 0 THEN turn_no END) OVER (PARTITION BY conv_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM t)
-SELECT turn_id, CAST(coalesce(len(list_filter(l, lambda x: x IS NOT NULL)), 0) AS INTEGER) AS useful, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL)[-3:], ','), '') AS history FROM p""")
+SELECT turn_id, CAST(least(coalesce(len(list_filter(l, lambda x: x IS NOT NULL)), 0), 3) AS INTEGER) AS useful, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL)[-3:], ','), '') AS history FROM p""")
 def history_last3(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    t = table(spark, d, "turns").dropDuplicates(["conv_id", "turn_no"])
-    w = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
-    l = F.collect_list(F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0, F.col("turn_no").cast("string"))).over(w)  # noqa: E741
-    return t.select("turn_id", F.size(l).alias("useful"), F.array_join(answer._last(l, 3), ",").alias("history"))
+    t = answer.with_history(table(spark, d, "turns"))
+    return t.select("turn_id", F.size("history").alias("useful"), F.array_join(F.transform("history", lambda x: x["turn"].cast("string")), ",").alias("history"))
 
 
 @query()
@@ -569,8 +565,7 @@ def follow_up_prompts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT source, list_sort(list(latency_ms))[1 + CAST(round_even(0.5 * (count(latency_ms) - 1), 0) AS INTEGER)] AS p50, list_sort(list(latency_ms))[1 + CAST(round_even(0.95 * (count(latency_ms) - 1), 0) AS INTEGER)] AS p95
 FROM (SELECT DISTINCT ON (answer_id) * FROM answers ORDER BY answer_id) WHERE latency_ms IS NOT NULL GROUP BY source""")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "answers").dropDuplicates(["answer_id"]).where(F.col("latency_ms").isNotNull())
-    return a.groupBy("source").agg(evaluate.nearest_rank(F.col("latency_ms"), 50).alias("p50"), evaluate.nearest_rank(F.col("latency_ms"), 95).alias("p95"))
+    return evaluate.nearest_ranks(table(spark, d, "answers").dropDuplicates(["answer_id"]), "source", "latency_ms", {"p50": 50, "p95": 95})
 
 
 @query(f"""WITH a AS (SELECT DISTINCT ON (answer_id) source, latency_ms / 1000 AS s FROM answers WHERE latency_ms IS NOT NULL ORDER BY answer_id), b AS (SELECT unnest({C.LATENCY_BUCKETS}::DOUBLE[]) AS le)

@@ -102,7 +102,15 @@ def test_metrics(spark):
     df = spark.createDataFrame([(1,), (2,), (None,), (7,)], "r int")
     assert df.agg(evaluate.hit_rate(F.col("r"), 6)).first()[0] == 0.5
     assert df.agg(evaluate.mrr(F.col("r"), 6)).first()[0] == 0.375
-    assert spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double").agg(evaluate.nearest_rank(F.col("v"), 50)).first()[0] == 3.0
     empty = spark.createDataFrame([], "r int")
     assert empty.agg(evaluate.hit_rate(F.col("r"), 6)).first()[0] == 0.0
-    assert spark.createDataFrame([], "v double").agg(evaluate.nearest_rank(F.col("v"), 50)).first()[0] is None
+
+
+def test_nearest_ranks(spark):
+    import random
+
+    rng = random.Random(0)
+    groups = {"four": [1.0, 2.0, 3.0, 4.0], "many": [float(rng.randrange(5000)) for _ in range(25_000)], None: [7.0, 7.0], "ties": [5.0] * 12_000 + [6.0] * 9_000}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("nulls", None)]
+    got = {r["g"]: (r["a"], r["b"]) for r in evaluate.nearest_ranks(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"a": 50, "b": 95}).collect()}
+    assert got == {g: tuple(sorted(vs)[round(q / 100 * (len(vs) - 1))] for q in (50, 95)) for g, vs in groups.items()}
