@@ -135,7 +135,7 @@ def strip_page_number(x: Column | str, page: Column | str) -> Column:
     lines = _inked_lines(_col(x))
     n = F.size(lines)
     own = F.concat(F.lit(r"^\s*[-–]?\s*"), _col(page).cast("string"), F.lit(r"\s*[-–]?\s*$"))
-    return F.array_join(F.filter(lines, lambda s, i: ~(((i < 2) | (i >= n - 2)) & F.rlike(s, own))), "\n")
+    return F.array_join(F.filter(lines, lambda s, i: ~(((i < 2) | (i >= n - 2)) & F.coalesce(F.rlike(s, own), F.lit(False)))), "\n")
 
 
 def clean_page(x: Column | str) -> Column:
@@ -214,14 +214,14 @@ def chunk_id(prefix: str, file: Column | str, index: Column | str) -> Column:
 def keep_valid_citations(answer: Column | str, sources: Column | str) -> Column:
     """Without [n] beyond the number of sources, and without the blanks that this leaves before punctuation."""
     marks = F.array_distinct(F.regexp_extract_all(_col(answer), F.lit(r"\[(\d+)\]"), F.lit(1)))
-    bad = F.filter(marks, lambda m: ~m.cast("bigint").between(1, _col(sources)))
+    bad = F.filter(marks, lambda m: ~F.coalesce(m.try_cast("bigint").between(1, _col(sources)), F.lit(False)))
     out = F.aggregate(bad, _col(answer), lambda acc, m: F.replace(acc, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
     return F.regexp_replace(out, r"[ \t]+([.,;:])", "$1")
 
 
 def cited_numbers(answer: Column | str, sources: Column | str) -> Column:
     """Valid citation numbers in the order of first appearance."""
-    marks = F.transform(F.regexp_extract_all(_col(answer), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int"))
+    marks = F.transform(F.regexp_extract_all(_col(answer), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.try_cast("int"))
     return F.array_distinct(F.filter(marks, lambda m: m.between(1, _col(sources))))
 
 
@@ -261,7 +261,7 @@ def article_ids(section: Column | str) -> Column:
     s = F.coalesce(_col(section), F.lit(""))
     ids = F.transform(F.regexp_extract_all(s, F.lit(r"(?i)(premier|1er|\d+(?:\.\d+)*)"), F.lit(1)), lambda m: F.when(F.lower(m).isin("premier", "1er"), "1").otherwise(m))
     low, high = (F.regexp_extract_all(s, F.lit(r"(\d+)\s*-\s*(\d+)"), F.lit(g)) for g in (1, 2))
-    spans = F.zip_with(low, high, lambda a, b: F.when((b.cast("int") >= a.cast("int")) & (b.cast("int") - a.cast("int") <= 20), F.transform(F.sequence(a.cast("int"), b.cast("int")), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>")))
+    spans = F.zip_with(low, high, lambda a, b: F.when((b.try_cast("int") >= a.try_cast("int")) & (b.try_cast("bigint") - a.try_cast("bigint") <= 20), F.transform(F.sequence(a.try_cast("int"), b.try_cast("int")), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.concat(ids, F.flatten(spans)))
 
 

@@ -75,7 +75,7 @@ def tokens_sql(x: str) -> str:
     return f"list_concat(list_transform({w}, lambda w: regexp_replace(w, '^(.{{4,}})[sx]$', '\\1')), {refs_sql(x)})"
 
 
-_ASKED = "SELECT DISTINCT id AS query_id, question FROM golden WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0"
+_ASKED = "SELECT DISTINCT id AS query_id, question FROM golden WHERE TRY_CAST(substr(id, 2) AS BIGINT) % 100 = 0"
 _HASHED = """{name} AS (
   SELECT k, bucket, count(*) AS n FROM (
     SELECT k, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))), 1, 2) AS INTEGER) AS bucket FROM ({rows})) GROUP BY ALL)"""
@@ -107,7 +107,7 @@ def bm25_sql(k: int) -> str:
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """The query set: golden questions whose number is divisible by 100."""
-    g = table(spark, d, "golden").where(F.expr("CAST(substr(id, 2) AS BIGINT) % 100 = 0"))
+    g = table(spark, d, "golden").where(F.expr("TRY_CAST(substr(id, 2) AS BIGINT) % 100 = 0"))
     return g.select(F.col("id").alias("query_id"), "question").distinct()
 
 
@@ -397,11 +397,11 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT answer_id, regexp_replace(regexp_replace(answer, '\\[(?:[04-9]|[0-9]{2,})\\]', '', 'g'), '[ \\t]+([.,;:])', '\\1', 'g') AS answer,
-  array_to_string(list_filter(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda m: m::int BETWEEN 1 AND 3), ' ') AS cited
+  array_to_string(list_filter(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda m: coalesce(TRY_CAST(m AS INT) BETWEEN 1 AND 3, false)), ' ') AS cited
 FROM (SELECT DISTINCT answer_id, answer FROM answers WHERE answer IS NOT NULL)""")
 def valid_citations(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "answers").where(F.col("answer").isNotNull()).dropDuplicates(["answer_id"])
-    marks = F.filter(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int").between(1, 3))
+    marks = F.filter(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: F.coalesce(m.try_cast("int").between(1, 3), F.lit(False)))
     return a.select("answer_id", T.keep_valid_citations("answer", F.lit(3)).alias("answer"), F.array_join(marks, " ").alias("cited"))
 
 
@@ -463,7 +463,7 @@ def followup_summary(spark: SparkSession, d: str) -> DataFrame:
     from . import pipeline
 
     g = table(spark, d, "golden")
-    n = F.expr("CAST(substr(id, 2) AS BIGINT)")
+    n = F.expr("TRY_CAST(substr(id, 2) AS BIGINT)")
     t = g.where((n % 100 == 0) & F.col("answerable")).select("id", F.col("id").alias("target"), F.format_string("g%08d", n + 1).alias("context"), F.lit("@target").alias("followup"), F.lit("follow_up").alias("kind")).distinct()
     return pipeline.followup_summary(pipeline.followup_ranks(t, g, table(spark, d, "chunks")))
 
