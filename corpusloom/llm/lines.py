@@ -144,8 +144,8 @@ def affected(lines: DataFrame, crossed: DataFrame) -> DataFrame:
 
 def without_lines(chunks: DataFrame, found: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """`chunks` with the found lines taken out of the text; rows without any are unchanged (a null text stays null)."""
-    gone = found.groupBy("rec").agg(F.collect_set("line_no").alias("_gone"))
+    gone = found.groupBy(F.col("rec").alias("_rec")).agg(F.collect_set("line_no").alias("_gone"))
     parts = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    j = chunks.join(gone, chunks[id_col] == gone["rec"], "left")
-    return j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone", "rec")
+    j = chunks.join(gone, F.col(id_col) == F.col("_rec"), "left")
+    return j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone", "_rec")

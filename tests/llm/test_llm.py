@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import areas, bpe, budget, canon, forms, language, lines, pack, scan, split, truncation
 
 TOKENIZERS = os.path.isfile(bpe.tokenizer_path())
+DOC = "doc_id bigint, text string, title string, url string, source string"
 CHUNK = "id string, text string, file string, issuer string, extra string"
 
 
@@ -73,6 +74,22 @@ def test_incremental_state(spark):
     assert {r["rec"] for r in lines.affected(a.unionByName(b), crossed).collect()} == {f"c{i}" for i in range(7)}
 
 
+def test_clashing_columns(spark):
+    """Extra columns that carry the operators' own names change nothing and are kept."""
+    line = "Une ligne du site qui revient partout ici"
+    own = ["rec", "source", "key", "h", "line_no", "_x", "word", "tokens", "lang", "total", "native", "share", "area", "n", "piece", "form"]
+    base = spark.createDataFrame([(f"c{i}", f"texte {i}\n{line}", f"f{i}", "BAM") for i in range(6)], "id string, text string, file string, issuer string")
+    wide = base.withColumns({c: F.lit("z") for c in own})
+    found = lines.recurring_lines(wide)
+    assert {tuple(r) for r in found.collect()} == {(f"c{i}", 1) for i in range(6)}
+    out = lines.without_lines(wide, found)
+    assert set(out.columns) == set(wide.columns) and {r["text"] for r in out.collect()} == {f"texte {i}" for i in range(6)}
+    assert scan.by_source(wide, spark.createDataFrame([("f0", "native")], "file string, text_source string")).where("not was_scanned").count() == 1
+    docs = spark.createDataFrame([(1, "Le coussin de trésorerie est revu.", "t", "u", "ssss")], DOC).withColumns({c: F.lit("z") for c in own})
+    assert [r["area"] for r in areas.document_areas(docs).collect()] == ["liquidity"]
+    assert pack.pack(pack.token_sizes(docs)).count() == 1 if TOKENIZERS else True
+
+
 def test_lines_of_nothing(spark):
     assert lines.recurring_lines(spark.createDataFrame([], CHUNK)).count() == 0
 
@@ -300,9 +317,6 @@ def test_split_items(spark):
 
 # 10 areas ---------------------------------------------------------------------------------------------------------
 
-DOC = "doc_id bigint, text string, title string, url string, source string"
-
-
 def test_areas(spark):
     pay, liq, none = "Le porte-monnaie mobile est contrôlé.", "Le coussin de trésorerie est revu.", "Le secrétariat répond sous dix jours."
     rows = [(1, " ".join([pay] * 3 + [none]), "Note", None, "s"), (2, " ".join([liq, none, none, none]), None, None, None), (3, " ".join([liq] + [none] * 4), "x", "u", "s"), (4, None, None, None, None), (5, "  ", "", "", ""), (6, f"{pay} {liq}", "t", "u", "s"), (7, "Le coussin de\ntrésorerie est rеvu. Le cous-\nsin de trésorerie est là.", "t", "u", "s")]
