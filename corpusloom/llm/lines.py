@@ -10,11 +10,11 @@ repeated rows count once; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_side
-from .forms import fold_table, joined
+from .forms import fold_table
 
 MIN_CHARS = 30
 MIN_SHARE = 0.03
@@ -24,23 +24,23 @@ MAX_WRONG = 2
 #: class needs (and in two). As a share of the files, it bounds the spellings per source whatever the corpus' size.
 ANCHOR_SHARE = 0.25
 
-#: The joined letters that occur in running text; each stands for several.
-_JOINED = "ﬀﬁﬂﬃﬄﻵﻷﻹﻻ"
-
 
 def _folded(text: Column) -> Column:
     kept = {a: b for a, b in fold_table().items() if b}
     gone = [a for a, b in fold_table().items() if not b]
-    for a in _JOINED:
-        text = F.replace(text, F.lit(a), F.lit(joined()[a]))
     return F.translate(text, "".join([*kept, *gone]), "".join(kept.values()))
 
 
+def _file_hash(file_col: str) -> Column:
+    return F.when(F.col(file_col).isNotNull(), F.xxhash64(file_col))
+
+
 def folded_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> DataFrame:
     """(rec, line_no, source, fh, h, key): each line of at least MIN_CHARS characters in the form in which lines are
-    compared: without case, accents, blanks, any number as one 0, characters that print alike unified."""
+    compared: without case, accents, blanks, any number as one 0, characters that print alike unified. A joined letter becomes its
+    first letter, which costs one wrong character."""
     c = chunks.select(
-        F.col(id_col).alias("rec"), F.col(source_col).alias("source"), F.xxhash64(F.col(file_col)).alias("fh"),
+        F.col(id_col).alias("rec"), F.col(source_col).alias("source"), _file_hash(file_col).alias("fh"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
     ).where(F.col("source").isNotNull() & (F.length(F.trim("line")) >= MIN_CHARS))
     key = F.regexp_replace(_folded(F.col("line")), "0+(?:[.,]0+)*", "0")
@@ -49,7 +49,7 @@ def folded_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text",
 
 def source_needs(chunks: DataFrame, source_col: str = "issuer", file_col: str = "file") -> DataFrame:
     """(source, need): the files in which a line must occur."""
-    n = chunks.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.countDistinct(F.xxhash64(file_col)).alias("files"))
+    n = chunks.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.countDistinct(_file_hash(file_col)).alias("files"))
     return n.select("source", F.greatest(F.lit(MIN_FILES), F.ceil(F.col("files") * MIN_SHARE - 1e-9)).alias("need"))
 
 
@@ -80,7 +80,7 @@ def _piece(key: Column, kind: str, g: Column) -> Column:
 def anchors(lines: DataFrame, needs: DataFrame) -> DataFrame:
     """(source, h, files, need, key): spellings frequent enough to stand for a class."""
     floor = F.greatest(F.lit(2), F.ceil(F.col("need") * ANCHOR_SHARE))
-    counts = line_files(lines).groupBy("source", "h").agg(F.count("*").alias("files"))
+    counts = line_files(lines).groupBy("source", "h").agg(F.count("fh").alias("files"))
     top = counts.join(small_side(needs), "source").where(F.col("files") >= floor)
     top = small_side(materialize(top, "line-anchors"))
     return lines.join(top, ["source", "h"]).dropDuplicates(["source", "h"]).select("source", "h", "files", "need", "key")
@@ -131,7 +131,7 @@ def crossed_lines(members: DataFrame) -> DataFrame:
 def newly_crossed(before: DataFrame, after: DataFrame, needs: DataFrame) -> DataFrame:
     """(source, h): lines at or over the threshold in the state `after` but not in `before`."""
     def over(state: DataFrame) -> DataFrame:
-        n = state.groupBy("source", "h").agg(F.count("*").alias("n"))
+        n = state.groupBy("source", "h").agg(F.count("fh").alias("n"))
         return n.join(needs, "source").where(F.col("n") >= F.col("need")).select("source", "h")
 
     return over(after).join(over(before), ["source", "h"], "left_anti")
