@@ -1,15 +1,19 @@
 """Problem 1: lines of the publishing site that recur over many files of one source.
 
-The state is a table of line counts per source. A new partition of chunks is reduced to a delta (`line_files`), merged
-(`merge_line_files`), and only the documents that hold a line whose class crossed the threshold are rebuilt
-(`newly_crossed`, `affected`, `without_lines`). `recurring_lines` runs the same steps from an empty state.
+The state (`State`) is a set of tables: the files of each source, the files of each spelling, the spellings that stand for
+classes, and the files of each (source, class). `advance` reduces a new partition of chunks to a delta, assigns its lines to
+classes (`class_members`), merges, and compares the files of each class with the need. Only the records that hold a spelling
+whose class crossed the need in either direction are rebuilt (`newly_crossed`, `affected`, `to_rebuild`, `without_lines`).
+`recurring_lines` is one step from the empty state; any division into partitions ends in the same lines.
 
 Defined cases: null text or null source gives no line; a null file counts as no file; empty lines keep their number;
-repeated rows count once; other columns are ignored.
+repeated rows count once, a repeated partition changes nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +51,14 @@ def folded_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text",
     return c.withColumn("key", key).withColumn("h", F.xxhash64("key")).select("rec", "line_no", "source", "fh", "h", "key")
 
 
-def source_needs(chunks: DataFrame, source_col: str = "issuer", file_col: str = "file") -> DataFrame:
-    """(source, need): the files in which a line must occur."""
-    n = chunks.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.countDistinct(_file_hash(file_col)).alias("files"))
+def source_files(chunks: DataFrame, source_col: str = "issuer", file_col: str = "file") -> DataFrame:
+    """(source, fh): the distinct files of each source."""
+    return chunks.where(F.col(source_col).isNotNull()).select(F.col(source_col).alias("source"), _file_hash(file_col).alias("fh")).distinct()
+
+
+def source_needs(files: DataFrame) -> DataFrame:
+    """(source, need): the files in which a line must occur. `files`: as source_files."""
+    n = files.groupBy("source").agg(F.count("fh").alias("files"))
     return n.select("source", F.greatest(F.lit(MIN_FILES), F.ceil(F.col("files") * MIN_SHARE - 1e-9)).alias("need"))
 
 
@@ -77,24 +86,22 @@ def _piece(key: Column, kind: str, g: Column) -> Column:
     return F.xxhash64("source", F.lit(kind[0]), g, cut)
 
 
-def anchors(lines: DataFrame, needs: DataFrame) -> DataFrame:
-    """(source, h, files, need, key): spellings frequent enough to stand for a class."""
+def anchors(files: DataFrame, needs: DataFrame) -> DataFrame:
+    """(source, h, files, need): spellings frequent enough to stand for a class. `files`: as line_files."""
     floor = F.greatest(F.lit(2), F.ceil(F.col("need") * ANCHOR_SHARE))
-    counts = line_files(lines).groupBy("source", "h").agg(F.count("fh").alias("files"))
-    top = counts.join(small_side(needs), "source").where(F.col("files") >= floor)
-    top = small_side(materialize(top, "line-anchors"))
-    return lines.join(top, ["source", "h"]).dropDuplicates(["source", "h"]).select("source", "h", "files", "need", "key")
+    counts = files.groupBy("source", "h").agg(F.count("fh").alias("files"))
+    return counts.join(small_side(needs), "source").where(F.col("files") >= floor)
 
 
 def class_members(lines: DataFrame, top: DataFrame) -> DataFrame:
-    """(rec, line_no, source, fh, anchor, need): each line within MAX_WRONG characters of an anchor, with the commonest
-    such anchor. `top`: a written table of anchors.
+    """(rec, line_no, source, fh, h, anchor): each line with every anchor within MAX_WRONG characters; rows may repeat. `top`:
+    (source, h, key), a written table of anchors.
 
     At most two wrong characters leave one of three pieces intact: the first, the last, or, if both ends have exactly
     one wrong character, the one after the first, moved by at most one. A line tries the lengths of piece that keys up
     to two characters shorter or longer have. Keys too short for three pieces meet by their source alone."""
     n = F.length("key")
-    index = top.select("source", F.col("h").alias("anchor"), F.col("key").alias("akey"), "files", "need")
+    index = top.select("source", F.col("h").alias("anchor"), F.col("key").alias("akey"))
     g = _length_of_piece(F.length("akey"))
     index = index.withColumn("kind", F.explode(F.array(*map(F.lit, ("a", "z", "m0", "short")))))
     piece = F.coalesce(*[F.when(F.col("kind") == k, _piece(F.col("akey"), k, g)) for k in ("a", "z", "m0", "short")])
@@ -109,28 +116,74 @@ def class_members(lines: DataFrame, top: DataFrame) -> DataFrame:
         j = some.withColumn("piece", _piece(F.col("key"), kind, g)).join(index, "piece").where(
             (F.col("source") == F.col("asource")) & (F.abs(n - F.length("akey")) <= MAX_WRONG)
             & ((F.col("key") == F.col("akey")) | (F.levenshtein("key", "akey", MAX_WRONG) >= 0))
-        ).select("rec", "line_no", "source", "fh", "files", "anchor", "need")
+        ).select("rec", "line_no", "source", "fh", "h", "anchor")
         near = j if near is None else near.unionByName(j)
-    best = F.max(F.struct("files", "anchor", "need")).alias("b")
-    return near.groupBy("rec", "line_no", "source", "fh").agg(best).select("rec", "line_no", "source", "fh", F.col("b.anchor").alias("anchor"), F.col("b.need").alias("need"))
+    return near
 
 
-def recurring_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> DataFrame:
-    """(rec, line_no): the lines to be removed from each record."""
-    lines = materialize(folded_lines(chunks, id_col, text_col, source_col, file_col), "lines")
-    top = materialize(anchors(lines, materialize(source_needs(chunks, source_col, file_col), "line-needs")), "line-anchor-keys")
-    members = materialize(class_members(lines, top), "line-members")
-    return crossed_lines(members)
+class State(NamedTuple):
+    """What is kept between partitions, as written tables."""
+
+    lines: DataFrame  #: folded_lines of the partitions so far
+    sources: DataFrame  #: (source, fh)
+    files: DataFrame  #: (source, h, fh) of each spelling
+    keys: DataFrame  #: (source, h, key) of each spelling that ever stood for a class
+    near: DataFrame  #: (source, h, anchor, fh) of each spelling within reach of one of these
+    crossed: DataFrame  #: (source, h): spellings to be removed
 
 
-def crossed_lines(members: DataFrame) -> DataFrame:
+def advance(before: State | None, chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> State:
+    """The state after a partition of chunks; None is the empty state.
+
+    A spelling becomes an anchor only by a new file, so its key is in the delta; earlier lines are read again only for the
+    anchors that are new."""
+    lines = materialize(folded_lines(chunks, id_col, text_col, source_col, file_col), "lines")
+    sources, files = source_files(chunks, source_col, file_col), line_files(lines)
+    if before is not None:
+        sources, files = merge_line_files(before.sources, sources), merge_line_files(before.files, files)
+    sources, files = materialize(sources, "line-sources"), materialize(files, "line-files")
+    top = materialize(anchors(files, materialize(source_needs(sources), "line-needs")), "line-anchors")
+    keys = lines.join(small_side(top), ["source", "h"]).select("source", "h", "key").dropDuplicates(["source", "h"])
+    if before is None:
+        keys = materialize(keys, "line-anchor-keys")
+        near = class_members(lines, keys)
+    else:
+        fresh = materialize(keys.join(before.keys, ["source", "h"], "left_anti"), "line-new-keys")
+        keys = before.keys.unionByName(fresh)
+        near = class_members(lines, materialize(keys, "line-anchor-keys")).unionByName(class_members(before.lines, fresh))
+        near = near.select("source", "h", "anchor", "fh").unionByName(before.near)
+        lines = before.lines.unionByName(lines)
+    near = materialize(near.select("source", "h", "anchor", "fh").distinct(), "line-classes")
+    return State(lines, sources, files, keys, near, materialize(crossed_spellings(near, top), "lines-crossed"))
+
+
+def crossed_spellings(near: DataFrame, top: DataFrame) -> DataFrame:
+    """(source, h): the spellings of classes that occur in as many files as needed. A spelling belongs to the commonest
+    anchor within reach. `near`: as in State; `top`: as anchors, a written table."""
+    now = small_side(top).withColumnRenamed("h", "anchor")
+    best = F.max(F.struct("files", "anchor", "need")).alias("b")
+    members = near.join(now, ["source", "anchor"]).groupBy("source", "h", "fh").agg(best).select("source", "h", "fh", "b.anchor", "b.need")
+    members = materialize(members, "line-members")
     big = members.groupBy("source", "anchor", "need").agg(F.countDistinct("fh").alias("n")).where(F.col("n") >= F.col("need")).select("source", "anchor")
-    return members.join(big, ["source", "anchor"], "left_semi").select("rec", "line_no").distinct()
+    return members.join(big, ["source", "anchor"], "left_semi").select("source", "h").distinct()
+
+
+def found_lines(state: State) -> DataFrame:
+    """(rec, line_no): the lines to be removed from each record so far."""
+    return state.lines.join(small_side(state.crossed), ["source", "h"], "left_semi").select("rec", "line_no").distinct()
 
 
-def newly_crossed(before: DataFrame, after: DataFrame, needs: DataFrame) -> DataFrame:
-    """(source, h): lines at or over the threshold in the state `after` but not in `before`."""
-    def over(state: DataFrame) -> DataFrame:
+def recurring_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> DataFrame:
+    """(rec, line_no): the lines to be removed from each record."""
+    return found_lines(advance(None, chunks, id_col, text_col, source_col, file_col))
+
+
+def newly_crossed(before: State | DataFrame, after: State | DataFrame, needs: DataFrame | None = None) -> DataFrame:
+    """(source, h): spellings at or over the threshold in the state `after` but not in `before`; with the states changed over,
+    those that fell below it. Of plain tables (source, h, fh) with `needs` each spelling is a class of its own."""
+    def over(state: State | DataFrame) -> DataFrame:
+        if isinstance(state, State):
+            return state.crossed
         n = state.groupBy("source", "h").agg(F.count("fh").alias("n"))
         return n.join(needs, "source").where(F.col("n") >= F.col("need")).select("source", "h")
 
@@ -142,6 +195,11 @@ def affected(lines: DataFrame, crossed: DataFrame) -> DataFrame:
     return lines.join(crossed, ["source", "h"], "left_semi").select("rec").distinct()
 
 
+def to_rebuild(before: State, after: State) -> DataFrame:
+    """(rec): the records of earlier partitions whose lines to be removed changed."""
+    return affected(before.lines, newly_crossed(before, after).unionByName(newly_crossed(after, before)))
+
+
 def without_lines(chunks: DataFrame, found: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """`chunks` with the found lines taken out of the text; rows without any are unchanged (a null text stays null)."""
     gone = found.groupBy(F.col("rec").alias("_rec")).agg(F.collect_set("line_no").alias("_gone"))

@@ -74,6 +74,26 @@ def test_incremental_state(spark):
     assert {r["rec"] for r in lines.affected(a.unionByName(b), crossed).collect()} == {f"c{i}" for i in range(7)}
 
 
+def test_partitions_end_in_the_same_lines(spark):
+    """Copies with wrong characters count towards their class and are rebuilt when it crosses the need, or falls below it."""
+    line = "Une ligne du site qui revient partout ici"
+    spelt = [line, line, line.replace("site", "sitc"), line.replace("partout", "part0ut"), line.replace("revient", "rcvicnt"), line]
+    other = "Une autre ligne que seuls deux fichiers de plus portent"
+    rows = [(f"c{i}", f"texte {i}\n{v}" + (f"\n{other.replace('seuls', 'sculs') if i < 2 else other}" if i % 2 == 0 or i < 2 else ""), f"f{i}", "BAM", "") for i, v in enumerate(spelt)]
+    parts = [spark.createDataFrame(r, CHUNK) for r in (rows[:4], rows[4:], [(f"d{i}", "texte", f"g{i}", "BAM", "") for i in range(200)])]
+    first = lines.advance(None, parts[0])
+    second = lines.advance(first, parts[1])
+    assert lines.found_lines(first).count() == 0
+    assert {tuple(r) for r in lines.found_lines(second).collect()} == {(f"c{i}", 1) for i in range(6)}
+    assert {r["rec"] for r in lines.to_rebuild(first, second).collect()} == {f"c{i}" for i in range(4)}
+    again = lines.advance(second, parts[1])
+    assert lines.found_lines(again).count() == 6 and lines.to_rebuild(second, again).count() == 0
+    third = lines.advance(second, parts[2])  # 206 files need 7
+    assert lines.found_lines(third).count() == 0 and {r["rec"] for r in lines.to_rebuild(second, third).collect()} == {f"c{i}" for i in range(6)}
+    whole = lines.recurring_lines(parts[0].unionByName(parts[1]))
+    assert {tuple(r) for r in whole.collect()} == {(f"c{i}", 1) for i in range(6)}
+
+
 def test_clashing_columns(spark):
     """Extra columns that carry the operators' own names change nothing and are kept."""
     line = "Une ligne du site qui revient partout ici"
