@@ -2,7 +2,8 @@
 
 Labelled text of each language gives a suffix automaton. A text is parsed greedily into the longest phrases that occur
 in the labelled text; the language that needs the fewest phrases per character wins, and the confidence is how many
-fewer it needs than the runner-up. Phrases end at word borders, so the parse of a distinct word is made once per worker
+fewer it needs than the runner-up. Files and chunks have the language of most of their chunks or words, and their phrases add
+up: the confidence is how many fewer their language needs than the best other one, none if it needs more. Phrases end at word borders, so the parse of a distinct word is made once per worker
 and a sentence adds up the parses of its words; the automata then need the distinct words only.
 
 The labelled sample is bounded (`SAMPLE` texts per language, those of the smallest hashes). Labels are partly wrong: a word
@@ -28,6 +29,7 @@ from .budget import language_code
 from .forms import print_alike
 
 LANGS = ("fr", "ar", "en", "es")
+PHRASES = tuple(f"{k}_phrases" for k in LANGS)
 SAMPLE = 400
 #: A word belongs to a language's labelled text if seen so often and at this rate of its highest rate under any label.
 LEAST_SEEN, LEAST_RATE = 3, 0.25
@@ -129,16 +131,23 @@ class Parser:
                 packed += min(a.phrases(f" {run} "), 255) << _BITS * k
         return packed
 
+    def needs(self, sentence: str) -> tuple[int, list[int]]:
+        """(words with letters, phrases per language)."""
+        packed = self(sentence.split())
+        return packed >> _BITS * len(LANGS), [packed >> _BITS * k & _MASK for k in range(len(LANGS))]
+
     def judge(self, sentence: str) -> tuple[int, int, float]:
         """(words with letters, language, confidence); language -1 without letters."""
-        packed = self(sentence.split())
-        n = packed >> _BITS * len(LANGS)
-        if not n:
-            return 0, -1, 0.0
-        need = [packed >> _BITS * k & _MASK for k in range(len(LANGS))]
-        best = min(need)
-        rest = sorted(need)[1]
-        return n, need.index(best), 1 - best / rest if rest else 0.0
+        return decide(*self.needs(sentence))
+
+
+def decide(n: int, need: list[int]) -> tuple[int, int, float]:
+    """As Parser.judge, of what Parser.needs gives."""
+    if not n:
+        return 0, -1, 0.0
+    best = min(need)
+    rest = sorted(need)[1]
+    return n, need.index(best), 1 - best / rest if rest else 0.0
 
 
 _parsers: dict[int, Parser] = {}
@@ -175,10 +184,10 @@ def _is_title(line: str, title: set[str]) -> bool:
 
 
 def line_languages(chunks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
-    """(rec, lines array<struct<line, fr, ar, en, es>>): words per language of each line with letters; running titles
-    left out. `chunks`: id, text, title."""
+    """(rec, lines array<struct<line, fr, ar, en, es, fr_phrases, ..>>): words per language of each line with letters, and
+    phrases that each language needs for it; running titles left out. `chunks`: id, text, title."""
     shared = chunks.sparkSession.sparkContext.broadcast(words)
-    fields = ["line", *LANGS]
+    fields = ["line", *LANGS, *PHRASES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _parser(shared.value)
@@ -191,18 +200,21 @@ def line_languages(chunks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
                 for i, line in enumerate((text or "").split("\n")):
                     if names and _is_title(line, names):
                         continue
-                    row = [i, 0, 0, 0, 0]
+                    row = [i] + [0] * (2 * len(LANGS))
                     for s in _sentence.split(line):
-                        n, k, sure = p.judge(s)
+                        n, need = p.needs(s)
                         if n:
+                            _, k, sure = decide(n, need)
                             if lang < 0 or n >= SURE_WORDS or sure > SURE:
                                 lang = k
                             row[1 + lang] += n
+                            for j, x in enumerate(need, 1 + len(LANGS)):
+                                row[j] += x
                     if any(row[1:]):
                         out.append(row)
                 offsets.append(len(out))
-            cells = np.array(out, np.int32).reshape(-1, 5)
-            struct = pa.StructArray.from_arrays([pa.array(cells[:, k]) for k in range(5)], fields)
+            cells = np.array(out, np.int32).reshape(-1, len(fields))
+            struct = pa.StructArray.from_arrays([pa.array(cells[:, k]) for k in range(len(fields))], fields)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], ["rec", "lines"])
 
     kinds = ", ".join(f"{f}: int" for f in fields)
@@ -241,19 +253,20 @@ def stretches(chunks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     return chunks.select("id", "text").mapInArrow(run, "id string, stretch int, start int, stop int, lang string, words int, confidence double").dropDuplicates(["id", "stretch"])
 
 
-def _sum_of(lang: str) -> Column:
-    return F.aggregate("lines", F.lit(0), lambda acc, x: acc + x[lang])
+def _sum_of(field: str) -> Column:
+    return F.aggregate("lines", F.lit(0), lambda acc, x: acc + x[field])
 
 
 def chunk_languages(chunks: DataFrame, words: dict[str, list[str]], site_lines: DataFrame | None = None) -> DataFrame:
-    """(id, file, label, fr, ar, en, es, total): words per language of each chunk, site lines (rec, line_no) left out."""
+    """(id, file, label, fr, ar, en, es, fr_phrases, .., total): words and phrases per language of each chunk, site lines (rec,
+    line_no) left out."""
     per = line_languages(chunks, words)
     if site_lines is not None:
         gone = site_lines.groupBy(F.col("rec").alias("r")).agg(F.collect_set("line_no").alias("gone"))
         per = per.join(gone, per["rec"] == gone["r"], "left")
         kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", x["line"])))
         per = per.select("rec", kept.alias("lines"))
-    sums = [_sum_of(k).alias(k) for k in LANGS]
+    sums = [_sum_of(k).alias(k) for k in (*LANGS, *PHRASES)]
     per = per.select(F.col("rec").alias("id"), *sums).dropDuplicates(["id"])
     about = chunks.groupBy("id").agg(F.min("file").alias("file"), F.min("language").alias("label"))
     total = sum((F.col(k) for k in LANGS), F.lit(0))
@@ -268,17 +281,46 @@ def main_language() -> Column:
     return out
 
 
+def confidence_of(lang: Column) -> Column:
+    """How many fewer phrases `lang` needs than the best other language; null without a language."""
+    out = None
+    for k in LANGS:
+        rest = F.least(*[F.col(f"{x}_phrases") for x in LANGS if x != k])
+        own = F.greatest(F.lit(0.0), F.round(1 - F.col(f"{k}_phrases") / rest, 4))
+        out = F.when(lang == k, own) if out is None else out.when(lang == k, own)
+    return out
+
+
+def assigned(chunks: DataFrame, doc_meta: DataFrame, texts: DataFrame, site_lines: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Every chunk, as chunk_languages with `lang` and `confidence`, and (file, lang, confidence) of every file of either table. Chunks
+    and files without words have neither language nor confidence."""
+    c = chunk_languages(chunks, labelled_words(texts), site_lines).withColumn("lang", main_language())
+    c = materialize(c.withColumn("confidence", confidence_of(F.col("lang"))), "languages")
+    sums = [F.sum(k).alias(k) for k in PHRASES]
+    votes = c.where("total > 0").groupBy("file", "lang").agg(F.count("*").alias("n"), F.sum("total").alias("w"), *sums)
+    file = votes.groupBy("file").agg(F.max_by("lang", F.struct("n", "w", "lang")).alias("lang"), *sums)
+    file = file.select("file", "lang", confidence_of(F.col("lang")).alias("confidence"))
+    every = doc_meta.select("file").unionByName(chunks.select("file")).where(F.col("file").isNotNull()).distinct()
+    return c, every.join(file, "file", "left")
+
+
+def languages(chunks: DataFrame, doc_meta: DataFrame, texts: DataFrame, site_lines: DataFrame | None) -> DataFrame:
+    """(level, rec, lang, confidence) of every file and chunk."""
+    c, file = assigned(chunks, doc_meta, texts, site_lines)
+    c = c.where(F.col("id").isNotNull()).select(F.lit("chunk").alias("level"), F.col("id").alias("rec"), "lang", "confidence")
+    return c.unionByName(file.select(F.lit("file").alias("level"), F.col("file").alias("rec"), "lang", "confidence"))
+
+
 def found(chunks: DataFrame, doc_meta: DataFrame, texts: DataFrame, site_lines: DataFrame | None) -> DataFrame:
     """(level, rec, lang) as TESTDATA.md defines p6_found."""
-    c = materialize(chunk_languages(chunks, labelled_words(texts), site_lines).withColumn("main", main_language()), "languages").where("total > 0")
+    c, file = assigned(chunks, doc_meta, texts, site_lines)
+    c = c.where("total > 0")
     own = F.coalesce(*[F.when(F.col("label") == k, F.col(k)) for k in LANGS], F.lit(0))
     wrong = F.col("label").isNull() | (F.col("total") - own >= SHARE * F.col("total"))
     langs = F.array_compact(F.array(*[F.when(F.col(k) >= SHARE * F.col("total"), F.lit(k)) for k in LANGS]))
     chunk = c.where(wrong).select(F.lit("chunk").alias("level"), F.col("id").alias("rec"), F.explode(langs).alias("lang"))
-    votes = c.groupBy("file", "main").agg(F.count("*").alias("n"), F.sum("total").alias("w"))
-    file = votes.groupBy("file").agg(F.max_by("main", F.struct("n", "w")).alias("lang"))
     labels = doc_meta.where(F.col("file").isNotNull()).select("file", language_code(F.col("language")).alias("label")).distinct()
-    off = labels.join(file, "file").where(F.col("label").isNull() | (F.col("label") != F.col("lang")))
+    off = labels.join(file.where(F.col("lang").isNotNull()), "file").where(F.col("label").isNull() | (F.col("label") != F.col("lang")))
     return chunk.unionByName(off.select(F.lit("file").alias("level"), F.col("file").alias("rec"), "lang")).distinct()
 
 

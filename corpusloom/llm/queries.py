@@ -47,6 +47,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(chunks, table(spark, d, "doc_meta"), texts, lines.recurring_lines(chunks))
 
 
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    texts = language.labelled_texts(chunks, table(spark, d, "documents"))
+    return language.languages(chunks, table(spark, d, "doc_meta"), texts, lines.recurring_lines(chunks))
+
+
 def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return language.stretches(chunks, language.labelled_words(language.labelled_texts(chunks, table(spark, d, "documents"))))
@@ -81,7 +87,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repair": p2_repair, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repair": p2_repair, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def _form_sql(x: str) -> str:

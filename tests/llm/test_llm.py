@@ -305,6 +305,18 @@ def test_languages(spark):
     assert language.found(ch.limit(0), meta.limit(0), texts.limit(0), None).count() == 0
 
 
+def test_every_file_and_chunk_has_a_language(spark):
+    fr, en, ar, es = (" ".join(WORDS[k]) + "." for k in ("fr", "en", "ar", "es"))
+    rows = [("c1", f"{fr} {fr}", "f", "t", "fr"), ("c2", f"{fr} {en}", "f", "t", "French"), ("c3", en, "f", "t", None), ("c4", f"{ar}\n{es}", "g", "t", "ar"), ("c5", None, "g", "t", "fr"), ("c6", "12 %", "g", "t", "fr"), ("c1", f"{fr} {fr}", "f", "t", "fr")]
+    ch = spark.createDataFrame(rows, "id string, text string, file string, title string, language string")
+    texts = spark.createDataFrame([(f"{k}{i}", k, " ".join(w)) for k, w in WORDS.items() for i in range(4)], "key string, label string, text string")
+    meta = spark.createDataFrame([("f", "xx"), ("g", "ar"), ("h", "fr")], "file string, language string")
+    every = {(r["level"], r["rec"]): (r["lang"], r["confidence"]) for r in language.languages(ch, meta, texts, None).collect()}
+    assert {k: v[0] for k, v in every.items()} == {("chunk", "c1"): "fr", ("chunk", "c2"): "fr", ("chunk", "c3"): "en", ("chunk", "c4"): "es", ("chunk", "c5"): None, ("chunk", "c6"): None, ("file", "f"): "fr", ("file", "g"): "es", ("file", "h"): None}
+    assert all((lang is None) == (sure is None) and (sure is None or 0 <= sure <= 1) for lang, sure in every.values())
+    assert every["chunk", "c1"][1] > every["chunk", "c2"][1] and every["chunk", "c3"][1] > 0.3 and every["file", "f"][1] < every["chunk", "c1"][1]
+
+
 # 7 pieces ---------------------------------------------------------------------------------------------------------
 
 
