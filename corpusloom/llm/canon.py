@@ -86,6 +86,13 @@ def canonical(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     return run_sql(df, f'SELECT {names}, print_form(spelled("{text_col}")) AS "{out_col}" FROM batch', f"{fields}, `{out_col}` string")
 
 
+def canonical_forms(chunks: DataFrame, golden: DataFrame) -> DataFrame:
+    """(column, id, form): the consistent form of chunks.text, golden.question and golden.evidence.quote; `id` of the row."""
+    parts = [chunks.select(F.lit("chunks.text").alias("column"), "id", "text")]
+    parts += [golden.select(F.lit(f"golden.{c}").alias("column"), "id", F.col(c).alias("text")) for c in ("question", "evidence.quote")]
+    return canonical(parts[0].unionByName(parts[1]).unionByName(parts[2]), "text", "form").select("column", "id", "form").distinct()
+
+
 def print_alike_pairs(chunks: DataFrame, golden: DataFrame) -> DataFrame:
     """(kind, key_a, key_b) as TESTDATA.md defines p5_found."""
     q = golden.select("id", "question", F.col("evidence.file").alias("file"), F.col("evidence.quote").alias("quote"))

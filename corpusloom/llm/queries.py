@@ -14,6 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("chunk_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
+def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, text): each chunk without the lines of the site."""
+    chunks = table(spark, d, "chunks")
+    return lines.without_lines(chunks.select("id", "text"), lines.recurring_lines(chunks)).select(F.col("id").alias("chunk_id"), "text").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return scan.scan_noise(chunks, *(table(spark, d, t) for t in ("doc_meta", "ocr_payload", "native_pages")), lines.recurring_lines(chunks))
@@ -23,6 +29,11 @@ def p2_repair(spark: SparkSession, d: str) -> DataFrame:
     return scan.repair_gain(*(table(spark, d, t) for t in ("chunks", "doc_meta", "ocr_payload", "native_pages")))
 
 
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return scan.repaired_texts(chunks, *(table(spark, d, t) for t in ("doc_meta", "ocr_payload", "native_pages")), lines.recurring_lines(chunks))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     judged = truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns")))
     return judged.where("cut").select("tbl", "row_id")
@@ -41,6 +52,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.print_alike_pairs(table(spark, d, "chunks"), table(spark, d, "golden"))
 
 
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return canon.canonical_forms(table(spark, d, "chunks"), table(spark, d, "golden"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     texts = language.labelled_texts(chunks, table(spark, d, "documents"))
@@ -87,7 +102,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repair": p2_repair, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_repair": p2_repair, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def _form_sql(x: str) -> str:

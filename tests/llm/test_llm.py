@@ -393,3 +393,27 @@ def test_queries_run_on_the_smallest_tables(spark):
         if name in columns:
             assert df.columns == columns[name]
             assert df.count() == (df.distinct().count() if name != "p8_ids" else spark.read.parquet(f"{d}/documents.parquet").count())
+
+
+def test_texts_come_out_whole(spark):
+    """Every chunk without its site lines, every scanned chunk and page repaired, every text of three columns in its form."""
+    from corpusloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    chunks, golden = read("chunks"), read("golden")
+    texts = {r["id"]: r["text"] for r in chunks.select("id", "text").collect()}
+    gone = {}
+    for r in queries.p1_found(spark, d).collect():
+        gone.setdefault(r["chunk_id"], set()).add(r["line_no"])
+    want = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in texts.items()}
+    assert {r["chunk_id"]: r["text"] for r in queries.p1_cleaned(spark, d).collect()} == want and gone
+    got = queries.p2_repaired(spark, d).collect()
+    scanned = {r["id"] for r in scan.by_source(chunks, read("doc_meta")).where("was_scanned").select("id").collect()}
+    assert {r["key"] for r in got if r["kind"] == "chunk"} == scanned
+    assert {r["key"] for r in got if r["kind"] == "page"} == {r["id"] for r in scan.payload_pages(read("ocr_payload"), read("doc_meta")).collect()}
+    assert all((r["text"] is None) == (texts[r["key"]] is None) for r in got if r["kind"] == "chunk")
+    want = {("chunks.text", i, t) for i, t in texts.items()} | {("golden.question", r["id"], r["question"]) for r in golden.collect()} | {("golden.evidence.quote", r["id"], r["evidence"] and r["evidence"]["quote"]) for r in golden.collect()}
+    assert {tuple(r) for r in queries.p5_forms(spark, d).collect()} == {(c, i, None if t is None else forms.print_alike(t)) for c, i, t in want}
