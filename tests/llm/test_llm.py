@@ -267,6 +267,31 @@ def test_print_alike_pairs(spark):
     assert canon.print_alike_pairs(ch.limit(0), go.limit(0)).count() == 0
 
 
+def test_quotes_meet_few_chunks(spark):
+    """All quotes and chunks in one file: few pairs are compared, and the pairs found are those of comparing all."""
+    rng = random.Random(5)
+    letters = "abcdeéfiﬁ \u0430\u00a0-"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for _ in range(150)]
+    odd = {"\u0430": "a", "\u00a0": " ", "ﬁ": "fi"}
+    quotes = ["\u200b", "a", "b\u200b"]
+    for t in texts * 2:
+        i = rng.randrange(len(t))
+        quotes.append("".join(odd.get(c, c) if rng.random() < 0.5 else c for c in t[i : i + rng.choice((1, 2, 3, 14, 15, 16, 38, 39, 40, 200))]))
+    ch = spark.createDataFrame([(f"c{i:03}", "f", t) for i, t in enumerate(texts)], "id string, file string, text string")
+    go = spark.createDataFrame([(f"g{i:03}", None, ("f", 1, q)) for i, q in enumerate(quotes)], "id string, question string, evidence struct<file string, page int, quote string>")
+    got = {tuple(r)[1:] for r in canon.print_alike_pairs(ch, go).where("kind = 'quote'").collect()}
+    form = forms.print_alike
+    assert got == {(f"c{i:03}", f"g{j:03}") for i, t in enumerate(texts) for j, q in enumerate(quotes) if form(q) in form(t) and q not in t}
+    for t in texts:
+        for tier, (_, _, least) in enumerate(canon.TIERS):
+            if len(t) > least:
+                i = rng.randrange(len(t) - least)
+                assert set(canon.prints(t[i : i + least], tier)) <= set(canon.prints(t, tier))
+    seen = spark.createDataFrame([(i, "f", canon.prints(form(t), 0).tolist()) for i, t in enumerate(texts)], "rid bigint, file string, prints array<bigint>")
+    asked = spark.createDataFrame([(i, "f", canon.prints(form(t), 0).tolist()) for i, t in enumerate(texts) if len(form(t)) >= 39], "qid bigint, file string, prints array<bigint>")
+    assert asked.count() <= canon.quote_pairs(seen, asked).count() < 2 * len(texts)
+
+
 # 6 languages ------------------------------------------------------------------------------------------------------
 
 WORDS = {
