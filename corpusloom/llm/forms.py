@@ -72,9 +72,9 @@ def print_alike(text: str) -> str:
 
 @lru_cache(1)
 def fold_table() -> dict[str, str]:
-    """One character to one or none: case, accents, blanks and the above removed, all digits as 0, joined letters by the
-    first."""
-    out: dict[str, str] = {a: b[0].lower() for a, b in joined().items()}
+    """One character to one or none: case, accents, blanks and the above removed, all digits as 0. Joined letters (`joined`) are
+    to be written out before."""
+    out: dict[str, str] = {}
     one = single()
     for c in map(chr, [*range(0x20, 0x600), *range(0x600, 0x700), *range(0x1E00, 0x2100), *range(0xFB50, 0xFDFC), *range(0xFE00, 0xFF66)]):
         if c.isspace() or U.category(c) in ("Mn", "Cf"):

@@ -1,11 +1,17 @@
 """Problem 1: lines of the publishing site that recur over many files of one source.
 
-The state (`State`) is a set of tables: the files of each source, the files of each spelling, the spellings that stand for
-classes, and the files of each (source, class). `advance` reduces a new partition of chunks to a delta, assigns its lines to
-classes (`class_members`), merges, and compares the files of each class with the need. Only the records that hold a spelling
-whose class crossed the need in either direction are rebuilt (`newly_crossed`, `affected`, `to_rebuild`, `without_lines`).
+The state (`State`) is a set of tables: the files of each source, the spellings and their files, the classes found and the
+spellings to be removed. `advance` reduces a new partition of chunks to a delta, merges it, assigns its lines to classes
+(`class_members`) and compares the files of each class with the need. Only the records that hold a spelling whose class
+crossed the need in either direction are rebuilt (`newly_crossed`, `affected`, `to_rebuild`, `without_lines`).
 `recurring_lines` is one step from the empty state; any division into partitions ends in the same lines.
 
+A line is removed if it lies within MAX_WRONG characters of a spelling whose neighbours within MAX_WRONG characters occur in
+as many files as needed. Classes are found by a spelling that is frequent itself (`anchors`); where the least count is needed,
+every spelling is one. With `rare`, the spellings outside these classes are looked at too: they are bounded from above by the
+lines that share a piece with them, twice, and all that can still reach the need are compared (`rare_classes`), so that no class
+is left out.
+
 Defined cases: null text or null source gives no line; a null file counts as no file; empty lines keep their number;
 repeated rows count once, a repeated partition changes nothing; other columns are ignored.
 """
@@ -18,20 +24,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_side
-from .forms import fold_table
+from .forms import fold_table, joined
 
 MIN_CHARS = 30
 MIN_SHARE = 0.03
 MIN_FILES = 5
 MAX_WRONG = 2
-#: A class of lines is found from its commonest spelling, which must occur in at least this share of the files that the
-#: class needs (and in two). As a share of the files, it bounds the spellings per source whatever the corpus' size.
-ANCHOR_SHARE = 0.25
+#: A spelling in this share of the files that its source needs stands for a class: every spelling where MIN_FILES are needed.
+#: Classes of rarer spellings alone are those of `rare_classes`.
+ANCHOR_SHARE = 0.2
+#: The ranges in which joined letters lie.
+JOINED = "[\u0132\u0133\u01c4-\u01cc\ufb00-\ufb17\ufbea-\ufdfb\ufe70-\ufe7f\ufef5-\ufefc]"
 
 
 def _folded(text: Column) -> Column:
+    """One character for one; joined letters, which few lines hold, are written out first."""
     kept = {a: b for a, b in fold_table().items() if b}
     gone = [a for a, b in fold_table().items() if not b]
+    letters = F.create_map(*[F.lit(x) for pair in joined().items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(letters, c), c)), "")
+    text = F.when(text.rlike(JOINED), spelled).otherwise(text)
     return F.translate(text, "".join([*kept, *gone]), "".join(kept.values()))
 
 
@@ -41,14 +53,13 @@ def _file_hash(file_col: str) -> Column:
 
 def folded_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> DataFrame:
     """(rec, line_no, source, fh, h, key): each line of at least MIN_CHARS characters in the form in which lines are
-    compared: without case, accents, blanks, any number as one 0, characters that print alike unified. A joined letter becomes its
-    first letter, which costs one wrong character."""
+    compared: without case, accents, blanks, any number as one 0, characters that print alike unified, joined letters written out."""
     c = chunks.select(
         F.col(id_col).alias("rec"), F.col(source_col).alias("source"), _file_hash(file_col).alias("fh"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
     ).where(F.col("source").isNotNull() & (F.length(F.trim("line")) >= MIN_CHARS))
     key = F.regexp_replace(_folded(F.col("line")), "0+(?:[.,]0+)*", "0")
-    return c.withColumn("key", key).withColumn("h", F.xxhash64("key")).select("rec", "line_no", "source", "fh", "h", "key")
+    return c.withColumn("key", key).withColumn("h", F.xxhash64("source", "key")).select("rec", "line_no", "source", "fh", "h", "key")
 
 
 def source_files(chunks: DataFrame, source_col: str = "issuer", file_col: str = "file") -> DataFrame:
@@ -72,53 +83,118 @@ def merge_line_files(state: DataFrame, delta: DataFrame) -> DataFrame:
     return state.unionByName(delta).distinct()
 
 
+def spelt(lines: DataFrame) -> DataFrame:
+    """(source, h, key, n): the distinct spellings and how many lines hold them."""
+    return lines.groupBy("source", "h", "key").agg(F.count("*").alias("n"))
+
+
 def _length_of_piece(length: Column) -> Column:
-    """Three pieces fit into a key with room for the middle one to move; in steps of 4, so that few lengths occur."""
-    return F.floor((length - 2) / 12).cast("int") * 4
+    """Three pieces fit into a key with room for the middle one to move; in steps of 4 for most, so that few lengths occur. Keys
+    under five characters have one empty piece."""
+    return F.greatest(F.lit(0), F.when(length >= 14, F.floor((length - 2) / 12) * 4).otherwise(F.floor((length - 2) / 3))).cast("int")
+
+
+def _cut(key: Column, kind: str, g: Column, moved: int = 0) -> tuple[Column, Column]:
+    """One piece of length g of a key (the first, the last, or the one after the first, moved), and the rest of the key."""
+    if kind == "a":
+        return F.substring(key, F.lit(1), g), F.substring(key, g + 1, F.length(key))
+    if kind == "z":
+        return F.right(key, g), F.left(key, F.length(key) - g)
+    return F.substring(key, g + 1 + moved, g), F.concat(F.left(key, g + moved), F.substring(key, 2 * g + 1 + moved, F.length(key)))
+
+
+def _cell(group: str, kind: str, g: Column, piece: Column) -> Column:
+    return F.xxhash64(group, F.lit(kind), g, piece)
 
 
-def _piece(key: Column, kind: str, g: Column) -> Column:
-    """The hash of one piece of length g of a key with its source: the first, the last, or the one after the first,
-    moved by -1, 0 or 1 characters."""
-    if kind == "short":
-        return F.xxhash64("source", F.lit(kind))
-    cut = F.substring(key, F.lit(1), g) if kind == "a" else F.right(key, g) if kind == "z" else F.substring(key, g + 1 + int(kind[1:]), g)
-    return F.xxhash64("source", F.lit(kind[0]), g, cut)
+def _cells(rows: DataFrame, group: str = "source") -> DataFrame:
+    """`rows` (`group`, key, ..) once for each of the three pieces of the key, with `cell` and `rest`."""
+    key, g = F.col("key"), _length_of_piece(F.length("key"))
+    parts = [(k, *_cut(key, k, g)) for k in ("a", "z", "m")]
+    cells = F.array(*[F.struct(_cell(group, k, g, piece).alias("cell"), rest.alias("rest")) for k, piece, rest in parts])
+    return rows.select("*", F.inline(cells))
+
+
+def _probes(rows: DataFrame, group: str = "source") -> DataFrame:
+    """`rows` (`group`, key, ..) once for each cell in which a key within MAX_WRONG characters can lie, with `cell` and `rest`.
+
+    At most two wrong characters leave one of the other's three pieces intact: the first, the last, or, if both ends have
+    exactly one wrong character, the one after the first, moved by at most one. The lengths of its pieces are those of keys up to
+    two characters shorter or longer."""
+    key, n = F.col("key"), F.length("key")
+    lengths = F.array_distinct(F.array(*[_length_of_piece(n + d) for d in range(-MAX_WRONG, MAX_WRONG + 1)]))
+    rows = rows.select("*", F.explode(lengths).alias("_g"))
+    g = F.col("_g")
+    parts = [("a", *_cut(key, "a", g)), ("z", *_cut(key, "z", g)), *[("m", *_cut(key, "m", g, d)) for d in (-1, 0, 1)]]
+    cells = F.array(*[F.struct(_cell(group, k, g, piece).alias("cell"), rest.alias("rest")) for k, piece, rest in parts])
+    return rows.select("*", F.inline(cells)).drop("_g")
+
+
+def _alike(a: str, b: str) -> Column:
+    return (F.abs(F.length(a) - F.length(b)) <= MAX_WRONG) & ((F.col(a) == F.col(b)) | (F.levenshtein(a, b, MAX_WRONG) >= 0))
 
 
 def anchors(files: DataFrame, needs: DataFrame) -> DataFrame:
     """(source, h, files, need): spellings frequent enough to stand for a class. `files`: as line_files."""
-    floor = F.greatest(F.lit(2), F.ceil(F.col("need") * ANCHOR_SHARE))
+    floor = F.ceil(F.col("need") * ANCHOR_SHARE - 1e-9)
     counts = files.groupBy("source", "h").agg(F.count("fh").alias("files"))
     return counts.join(small_side(needs), "source").where(F.col("files") >= floor)
 
 
-def class_members(lines: DataFrame, top: DataFrame) -> DataFrame:
-    """(rec, line_no, source, fh, h, anchor): each line with every anchor within MAX_WRONG characters; rows may repeat. `top`:
-    (source, h, key), a written table of anchors.
-
-    At most two wrong characters leave one of three pieces intact: the first, the last, or, if both ends have exactly
-    one wrong character, the one after the first, moved by at most one. A line tries the lengths of piece that keys up
-    to two characters shorter or longer have. Keys too short for three pieces meet by their source alone."""
-    n = F.length("key")
+def class_members(spellings: DataFrame, top: DataFrame) -> DataFrame:
+    """(source, h, anchor): each spelling with every anchor within MAX_WRONG characters. Both sides: source, h, key; `top`: a
+    written table of anchors."""
     index = top.select("source", F.col("h").alias("anchor"), F.col("key").alias("akey"))
-    g = _length_of_piece(F.length("akey"))
-    index = index.withColumn("kind", F.explode(F.array(*map(F.lit, ("a", "z", "m0", "short")))))
-    piece = F.coalesce(*[F.when(F.col("kind") == k, _piece(F.col("akey"), k, g)) for k in ("a", "z", "m0", "short")])
-    index = index.where(F.when(F.col("kind") == "short", F.length("akey") < 14).otherwise(g >= 4)).withColumn("piece", piece)
-    index = small_side(materialize(index.withColumnRenamed("source", "asource"), "line-index"))
-    high, low = _length_of_piece(n + MAX_WRONG), _length_of_piece(n - MAX_WRONG)
-    tries = [(lines.where(n < 14 + MAX_WRONG), "short", F.lit(0))]
-    for kind in ("a", "z", "m-1", "m0", "m+1"):
-        tries += [(lines.where(high >= 4), kind, high), (lines.where((low >= 4) & (low != high)), kind, low)]
-    near = None
-    for some, kind, g in tries:
-        j = some.withColumn("piece", _piece(F.col("key"), kind, g)).join(index, "piece").where(
-            (F.col("source") == F.col("asource")) & (F.abs(n - F.length("akey")) <= MAX_WRONG)
-            & ((F.col("key") == F.col("akey")) | (F.levenshtein("key", "akey", MAX_WRONG) >= 0))
-        ).select("rec", "line_no", "source", "fh", "h", "anchor")
-        near = j if near is None else near.unionByName(j)
-    return near
+    index = _cells(index.withColumn("key", F.col("akey"))).select(F.col("source").alias("asource"), "anchor", "akey", "cell")
+    index = small_side(materialize(index.distinct(), "line-index"))
+    met = _probes(spellings.select("source", "h", "key")).select("source", "h", "key", "cell").join(index, "cell")
+    return met.where((F.col("source") == F.col("asource")) & _alike("key", "akey")).select("source", "h", "anchor").distinct()
+
+
+def _counts(rows: DataFrame, group: str) -> DataFrame:
+    """(cell, lines): the lines of `rows` (`group`, key, n) by piece, and by the first piece together with the last ("az") or the
+    next ("am")."""
+    key, g = F.col("key"), _length_of_piece(F.length("key"))
+    a, z, m = (_cut(key, k, g)[0] for k in ("a", "z", "m"))
+    cells = [_cell(group, k, g, piece) for k, piece in (("a", a), ("z", z), ("m", m), ("az", F.concat(a, z)), ("am", F.concat(a, m)))]
+    return rows.select("n", F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.sum("n").alias("lines"))
+
+
+def _bounds(asked: DataFrame, counts: DataFrame, group: str) -> DataFrame:
+    """`asked` (h, need, `group`, key) once for each cell in which neighbours can lie, with `cell`, `rest` and `bound`: the most
+    neighbours that the cell can add. Those in the cell of the last or the middle piece that share the first piece too are
+    counted by the first. `counts`: as _counts, a written table."""
+    key, n = F.col("key"), F.length("key")
+    lengths = F.array_distinct(F.array(*[_length_of_piece(n + d) for d in range(-MAX_WRONG, MAX_WRONG + 1)]))
+    g = F.col("_g")
+    a, z, m = (_cut(key, k, g)[0] for k in ("a", "z", "m"))
+    parts = [("a", *_cut(key, "a", g), None), ("z", *_cut(key, "z", g), _cell(group, "az", g, F.concat(a, z))), ("m", *_cut(key, "m", g), _cell(group, "am", g, F.concat(a, m)))]
+    parts += [("m", *_cut(key, "m", g, d), None) for d in (-1, 1)]
+    cells = F.array(*[F.struct(_cell(group, k, g, piece).alias("cell"), rest.alias("rest"), (F.lit(None).cast("bigint") if less is None else less).alias("less")) for k, piece, rest, less in parts])
+    probes = asked.select("*", F.explode(lengths).alias("_g")).select("h", "need", F.inline(cells))
+    counts = small_side(counts)
+    less = counts.select(F.col("cell").alias("less"), F.col("lines").alias("counted"))
+    return probes.join(counts, "cell").join(less, "less", "left").select("h", "need", "cell", "rest", (F.col("lines") - F.coalesce("counted", F.lit(0))).alias("bound")).where("bound > 0")
+
+
+def rare_classes(spellings: DataFrame, covered: DataFrame, needs: DataFrame) -> DataFrame:
+    """(source, h, anchor): the spellings within MAX_WRONG characters of each spelling `anchor` outside the classes found, of
+    those that can reach the need. `spellings`: as spelt; `covered`: (source, h); written tables.
+
+    The lines that lie within reach of a spelling share a piece with it, and of the rest of the key a piece again. The
+    counts of lines by piece bound the files of its class from above, so that only few spellings are compared."""
+    def able(bounds: DataFrame) -> DataFrame:
+        per = bounds.groupBy("h").agg(F.sum("bound").alias("bound"), F.max("need").alias("need"))
+        return materialize(per.where(F.col("bound") >= F.col("need")).select("h"), "line-able")
+
+    asked = spellings.join(small_side(covered), ["source", "h"], "left_anti").join(small_side(needs), "source").select("h", "need", "source", "key")
+    counts = materialize(_counts(spellings, "source").where("lines > 1"), "line-counts")
+    one = able(_bounds(asked, counts, "source"))
+    again = _bounds(asked.join(small_side(one), "h", "left_semi"), counts, "source").select("h", "need", F.col("cell").alias("one"), F.col("rest").alias("key"), F.col("bound").alias("most"))
+    again = materialize(again, "line-again")
+    held = _cells(spellings).select(F.col("cell").alias("one"), F.col("rest").alias("key"), "n").join(small_side(materialize(again.select("one").distinct(), "line-cells")), "one", "left_semi")
+    two = able(_bounds(again, materialize(_counts(held, "one"), "line-counts"), "one"))
+    return class_members(spellings, materialize(spellings.join(small_side(two), "h", "left_semi").select("source", "h", "key"), "line-rare-keys"))
 
 
 class State(NamedTuple):
@@ -127,45 +203,50 @@ class State(NamedTuple):
     lines: DataFrame  #: folded_lines of the partitions so far
     sources: DataFrame  #: (source, fh)
     files: DataFrame  #: (source, h, fh) of each spelling
+    spellings: DataFrame  #: (source, h, key, n)
     keys: DataFrame  #: (source, h, key) of each spelling that ever stood for a class
-    near: DataFrame  #: (source, h, anchor, fh) of each spelling within reach of one of these
+    near: DataFrame  #: (source, h, anchor) of each spelling within reach of one of these
     crossed: DataFrame  #: (source, h): spellings to be removed
 
 
-def advance(before: State | None, chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> State:
-    """The state after a partition of chunks; None is the empty state.
+def advance(before: State | None, chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file", rare: bool = False) -> State:
+    """The state after a partition of chunks; None is the empty state. `rare`: also the classes without an anchor.
 
-    A spelling becomes an anchor only by a new file, so its key is in the delta; earlier lines are read again only for the
-    anchors that are new."""
+    A spelling becomes an anchor only by a new file, so its key is in the delta; earlier spellings are read again only for
+    the anchors that are new."""
     lines = materialize(folded_lines(chunks, id_col, text_col, source_col, file_col), "lines")
     sources, files = source_files(chunks, source_col, file_col), line_files(lines)
+    fresh_spellings = spellings = materialize(spelt(lines), "line-spellings")
     if before is not None:
         sources, files = merge_line_files(before.sources, sources), merge_line_files(before.files, files)
+        spellings = before.spellings.unionByName(spellings).groupBy("source", "h", "key").agg(F.sum("n").alias("n"))
+        spellings = materialize(spellings, "line-spellings")
     sources, files = materialize(sources, "line-sources"), materialize(files, "line-files")
-    top = materialize(anchors(files, materialize(source_needs(sources), "line-needs")), "line-anchors")
-    keys = lines.join(small_side(top), ["source", "h"]).select("source", "h", "key").dropDuplicates(["source", "h"])
+    needs = materialize(source_needs(sources), "line-needs")
+    top = materialize(anchors(files, needs), "line-anchors")
+    keys = fresh_spellings.join(small_side(top), ["source", "h"], "left_semi").select("source", "h", "key")
     if before is None:
         keys = materialize(keys, "line-anchor-keys")
-        near = class_members(lines, keys)
+        near = class_members(spellings, keys)
     else:
         fresh = materialize(keys.join(before.keys, ["source", "h"], "left_anti"), "line-new-keys")
-        keys = before.keys.unionByName(fresh)
-        near = class_members(lines, materialize(keys, "line-anchor-keys")).unionByName(class_members(before.lines, fresh))
-        near = near.select("source", "h", "anchor", "fh").unionByName(before.near)
+        keys = materialize(before.keys.unionByName(fresh), "line-anchor-keys")
+        near = class_members(fresh_spellings, keys).unionByName(class_members(before.spellings, fresh)).unionByName(before.near).distinct()
         lines = before.lines.unionByName(lines)
-    near = materialize(near.select("source", "h", "anchor", "fh").distinct(), "line-classes")
-    return State(lines, sources, files, keys, near, materialize(crossed_spellings(near, top), "lines-crossed"))
+    near = materialize(near, "line-classes")
+    now = near.join(small_side(top.select("source", F.col("h").alias("anchor"))), ["source", "anchor"], "left_semi")
+    crossed = materialize(crossed_spellings(now, files, needs), "lines-crossed")
+    if rare:
+        more = materialize(rare_classes(spellings, crossed, needs), "line-rare")
+        crossed = materialize(crossed.unionByName(crossed_spellings(more, files, needs)).distinct(), "lines-crossed")
+    return State(lines, sources, files, spellings, keys, near, crossed)
 
 
-def crossed_spellings(near: DataFrame, top: DataFrame) -> DataFrame:
-    """(source, h): the spellings of classes that occur in as many files as needed. A spelling belongs to the commonest
-    anchor within reach. `near`: as in State; `top`: as anchors, a written table."""
-    now = small_side(top).withColumnRenamed("h", "anchor")
-    best = F.max(F.struct("files", "anchor", "need")).alias("b")
-    members = near.join(now, ["source", "anchor"]).groupBy("source", "h", "fh").agg(best).select("source", "h", "fh", "b.anchor", "b.need")
-    members = materialize(members, "line-members")
-    big = members.groupBy("source", "anchor", "need").agg(F.countDistinct("fh").alias("n")).where(F.col("n") >= F.col("need")).select("source", "anchor")
-    return members.join(big, ["source", "anchor"], "left_semi").select("source", "h").distinct()
+def crossed_spellings(near: DataFrame, files: DataFrame, needs: DataFrame) -> DataFrame:
+    """(source, h): the spellings of classes that occur in as many files as needed. `near`: (source, h, anchor), a written table."""
+    of_class = small_side(near).join(files, ["source", "h"]).select("source", "anchor", "fh").distinct()
+    big = of_class.groupBy("source", "anchor").agg(F.count("fh").alias("n")).join(small_side(needs), "source").where(F.col("n") >= F.col("need"))
+    return near.join(small_side(materialize(big.select("source", "anchor"), "line-big")), ["source", "anchor"], "left_semi").select("source", "h").distinct()
 
 
 def found_lines(state: State) -> DataFrame:
@@ -173,9 +254,9 @@ def found_lines(state: State) -> DataFrame:
     return state.lines.join(small_side(state.crossed), ["source", "h"], "left_semi").select("rec", "line_no").distinct()
 
 
-def recurring_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file") -> DataFrame:
+def recurring_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "issuer", file_col: str = "file", rare: bool = False) -> DataFrame:
     """(rec, line_no): the lines to be removed from each record."""
-    return found_lines(advance(None, chunks, id_col, text_col, source_col, file_col))
+    return found_lines(advance(None, chunks, id_col, text_col, source_col, file_col, rare))
 
 
 def newly_crossed(before: State | DataFrame, after: State | DataFrame, needs: DataFrame | None = None) -> DataFrame:

@@ -55,10 +55,52 @@ def test_members_match_brute_force(spark):
             else:
                 s.insert(i, rng.choice("xyzw"))
         keys.append("".join(s).replace(" ", ""))
-    df = spark.createDataFrame([(f"r{i}", 0, "S", i, k) for i, k in enumerate(keys)], "rec string, line_no int, source string, fh bigint, key string").withColumn("h", F.xxhash64("key"))
-    top = spark.createDataFrame([("S", b.replace(" ", ""), 9, 5) for b in base], "source string, key string, files int, need int").withColumn("h", F.xxhash64("key"))
-    got = {r["rec"] for r in lines.class_members(df, top).collect()}
-    assert got == {f"r{i}" for i, k in enumerate(keys) if any(_levenshtein(k, b.replace(" ", "")) <= 2 for b in base)}
+    df = spark.createDataFrame([("S", k) for k in sorted(set(keys))], "source string, key string").withColumn("h", F.xxhash64("source", "key"))
+    top = spark.createDataFrame([("S", b.replace(" ", "")) for b in base], "source string, key string").withColumn("h", F.xxhash64("source", "key"))
+    got = {r["key"] for r in lines.class_members(df, top).join(df, "h").collect()}
+    assert got == {k for k in keys if any(_levenshtein(k, b.replace(" ", "")) <= 2 for b in base)}
+
+
+def _due(texts, files, need):
+    """By brute force: the lines within two characters of one whose neighbours occur in `need` files."""
+    near = [[j for j, b in enumerate(texts) if _levenshtein(a, b) <= 2] for a in texts]
+    full = [len({files[j] for j in n}) >= need for n in near]
+    return {i for i, n in enumerate(near) if any(full[j] for j in n)}
+
+
+def test_rare_classes_match_brute_force(spark):
+    """Classes without any frequent spelling, in a source that needs six files; with short and long keys."""
+    rng = random.Random(11)
+    base = ["documentdiffuseparleportailreglementaireduroyaumeetsesannexes", "abonnezvousalalettrehebdomadaire", "ouvertdulundiauvendredide"]
+    texts, files = [], []
+    for b in base:
+        for f in range(14):
+            s = list(b)
+            for _ in range(rng.randrange(4)):
+                i, op = rng.randrange(len(s)), rng.randrange(3)
+                s[i : i + (op < 2)] = [] if op == 0 else [rng.choice("wxkq")]
+            texts.append("".join(s))
+            files.append(f"f{f}")
+    rows = [(f"c{i}", t + " " * 40 + ".", f, "BAM", "") for i, (t, f) in enumerate(zip(texts, files, strict=True))]
+    rows = [(a, b.strip()[:-1] + " " * 20 + "|", *rest) for a, b, *rest in rows]
+    filler = [(f"d{i}", "texte", f"g{i}", "BAM", "") for i in range(180)]
+    due = {(f"c{i}", 0) for i in _due(texts, files, 6)}
+    state = lines.advance(None, spark.createDataFrame(rows + filler, CHUNK), rare=True)
+    assert {tuple(r) for r in lines.found_lines(state).collect()} == due and len(due) > 20
+    assert {tuple(r) for r in lines.recurring_lines(spark.createDataFrame(rows + filler, CHUNK)).collect()} <= due
+    few = spark.createDataFrame(rows + filler[:100], CHUNK)  # 114 files need five: every spelling is an anchor
+    assert {tuple(r) for r in lines.recurring_lines(few).collect()} == {(f"c{i}", 0) for i in _due(texts, files, 5)}
+
+
+def test_eight_spellings_and_joined_letters(spark):
+    line = "Une ligne du site qui revient partout ici"
+    spelt = [line[:k] + "#" + line[k + 1 :] for k in range(8)]
+    arabic = "\u0644\u0627 \u064a\u062c\u0648\u0632 \u0644\u0644\u0645\u0624\u0633\u0633\u0627\u062a \u0644\u0627 \u0648\u0644\u0627 \u0627\u0644\u0646\u0634\u0631 \u0628\u062f\u0648\u0646 \u0625\u0630\u0646"
+    forms_ = [arabic if i % 2 else arabic.replace("\u0644\u0627", "\ufefb") for i in range(8)]
+    latin = ["Un e\ufb03cace suivi des \ufb02ux et du pro\ufb01l a\ufb00ecté" if i % 2 else "Un efficace suivi des flux et du profil affecté" for i in range(8)]
+    for texts in (spelt, forms_, latin):
+        df = spark.createDataFrame([(f"c{i}", t, f"f{i}", "BAM", "") for i, t in enumerate(texts)], CHUNK)
+        assert lines.recurring_lines(df).count() == 8
 
 
 def test_incremental_state(spark):
