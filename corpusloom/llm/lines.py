@@ -37,13 +37,20 @@ ANCHOR_SHARE = 0.2
 JOINED = "[\u0132\u0133\u01c4-\u01cc\ufb00-\ufb17\ufbea-\ufdfb\ufe70-\ufe7f\ufef5-\ufefc]"
 
 
-def _folded(text: Column) -> Column:
-    """One character for one; joined letters, which few lines hold, are written out first."""
-    kept = {a: b for a, b in fold_table().items() if b}
-    gone = [a for a, b in fold_table().items() if not b]
-    letters = F.create_map(*[F.lit(x) for pair in joined().items() for x in pair])
+#: Stands before each further letter of a joined one that was written out.
+_MORE = "\x01"
+
+
+def _written_out(text: Column) -> Column:
+    """Joined letters, which few texts hold, as their letters, each further one behind _MORE."""
+    letters = F.create_map(*[F.lit(x) for a, b in joined().items() for x in (a, _MORE.join(b))])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(letters, c), c)), "")
-    text = F.when(text.rlike(JOINED), spelled).otherwise(text)
+    return F.when(text.rlike(JOINED), spelled).otherwise(text)
+
+
+def _folded(text: Column) -> Column:
+    kept = {a: b for a, b in fold_table().items() if b and a != _MORE}
+    gone = [_MORE, *(a for a, b in fold_table().items() if not b and a != _MORE)]
     return F.translate(text, "".join([*kept, *gone]), "".join(kept.values()))
 
 
@@ -56,8 +63,8 @@ def folded_lines(chunks: DataFrame, id_col: str = "id", text_col: str = "text",
     compared: without case, accents, blanks, any number as one 0, characters that print alike unified, joined letters written out."""
     c = chunks.select(
         F.col(id_col).alias("rec"), F.col(source_col).alias("source"), _file_hash(file_col).alias("fh"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
-    ).where(F.col("source").isNotNull() & (F.length(F.trim("line")) >= MIN_CHARS))
+        F.posexplode(F.split(_written_out(F.col(text_col)), "\n")).alias("line_no", "line"),
+    ).where(F.col("source").isNotNull() & (F.length(F.when(F.contains("line", F.lit(_MORE)), F.regexp_replace(F.trim("line"), _MORE + ".", "")).otherwise(F.trim("line"))) >= MIN_CHARS))
     key = F.regexp_replace(_folded(F.col("line")), "0+(?:[.,]0+)*", "0")
     return c.withColumn("key", key).withColumn("h", F.xxhash64("source", "key")).select("rec", "line_no", "source", "fh", "h", "key")
 
