@@ -70,7 +70,7 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
-    return language.stretches(chunks, language.labelled_words(language.labelled_texts(chunks, table(spark, d, "documents"))))
+    return language.stretches(chunks, language.labelled_text(language.labelled_texts(chunks, table(spark, d, "documents"))))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -343,9 +343,9 @@ WORDS = {
 
 
 def test_automaton_is_exact():
-    text = "banana\nananas\nsavane"
+    text = "banana ananas savane"
     a = language.SuffixAutomaton(text)
-    subs = {w[i:j] for w in text.split("\n") for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    subs = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
     def known(s):
         state = 0
         for c in s:
@@ -355,8 +355,34 @@ def test_automaton_is_exact():
         return True
     rng = random.Random(6)
     assert all(map(known, subs))
-    assert all(known(s) == (s in subs) for s in ("".join(rng.choice("bansvex") for _ in range(rng.randrange(1, 6))) for _ in range(500)))
-    assert a.phrases("banane") == 2 and a.phrases("xx") == 2
+    assert all(known(s) == (s in subs) for s in ("".join(rng.choice("bansve x") for _ in range(rng.randrange(1, 6))) for _ in range(500)))
+    assert a.phrases("banane") == 2 and a.phrases("xx") == 2 and a.phrases("a ana") == 1
+
+
+def test_parse_side_by_side_is_the_greedy_parse():
+    labelled = {k: " ".join(w) for k, w in WORDS.items()}
+    p = language.Parser(labelled)
+    automata = [language.SuffixAutomaton(labelled[k]) for k in language.LANGS]
+    rng = random.Random(10)
+    words = [*sum(WORDS.values(), []), "xyz", "12", "q", "É", "e\u0301t\u00e9", "\u200b", "—"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(200)]
+    text, start, stop, n, letters, phrases = p.sentences(texts)
+    seen = {}
+    for t, a, z, size, got in zip(text.tolist(), start.tolist(), stop.tolist(), letters.tolist(), phrases.tolist(), strict=True):
+        s = language.plain(forms.print_alike(texts[t])[a:z] if texts[t].isascii() else language.unicodedata.normalize("NFC", texts[t])[a:z])
+        assert len(s) == size and got == [x.phrases(s) for x in automata]
+        seen[t] = seen.get(t, "") + s
+    assert all(seen.get(i, "") == language.plain(t) for i, t in enumerate(texts))
+    assert p.sentences([])[0].size == 0 and p.sentences(["", "12 !"])[0].size == 0
+
+
+def test_long_sentences_and_unknown_languages():
+    p = language.Parser({k: " ".join(w) for k, w in WORDS.items()})
+    for k, w in WORDS.items():
+        for times in (1, 700, 4000):
+            n, lang, sure = p.judge(" ".join(w * times))
+            assert (n, language.LANGS[lang]) == (len(w) * times, k) and sure > 0.3
+    assert p.judge("Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich")[1] == -1 and p.judge("12 % !") == (0, -1, 0.0)
 
 
 def test_languages(spark):
@@ -367,7 +393,7 @@ def test_languages(spark):
     meta = spark.createDataFrame([("f", "xx"), ("g", "ar"), ("h", "fr")], "file string, language string")
     got = {tuple(r) for r in language.found(ch, meta, texts, None).collect()}
     assert got == {("chunk", "c2", "fr"), ("chunk", "c2", "en"), ("chunk", "c3", "en"), ("chunk", "c4", "ar"), ("chunk", "c4", "es"), ("file", "f", "fr"), ("file", "g", "es")}
-    s = language.stretches(ch, language.labelled_words(texts)).where("id = 'c4'").orderBy("stretch").collect()
+    s = language.stretches(ch, language.labelled_text(texts)).where("id = 'c4'").orderBy("stretch").collect()
     assert [r["lang"] for r in s] == ["ar", "es"] and all(0 < r["confidence"] <= 1 for r in s)
     assert language.found(ch.limit(0), meta.limit(0), texts.limit(0), None).count() == 0
 
