@@ -45,7 +45,9 @@ def _written_out(text: Column) -> Column:
     """Joined letters, which few texts hold, as their letters, each further one behind _MORE."""
     letters = F.create_map(*[F.lit(x) for a, b in joined().items() for x in (a, _MORE.join(b))])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(letters, c), c)), "")
-    return F.when(text.rlike(JOINED), spelled).otherwise(text)
+    stored = text.cast("binary")  # a search for the bytes with which these letters begin is much faster than the pattern
+    some = [F.contains(stored, F.lit(bytes.fromhex(x))) for x in ("EF", "C7", "C4B2", "C4B3")]
+    return F.when((some[0] | some[1] | some[2] | some[3]) & text.rlike(JOINED), spelled).otherwise(text)
 
 
 def _folded(text: Column) -> Column:
