@@ -23,6 +23,8 @@ from .bpe import encoder, tokenizer_path
 
 CAPACITY = 2048
 GROUP_DOCS = 20_000
+#: A smaller corpus is dealt over the workers too, in groups of at least so many documents.
+LEAST_DOCS = 2_500
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -66,7 +68,8 @@ def token_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def pack(sizes: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(container, doc_id, part, start, tokens): tokens start..start+tokens of each document lie in this container."""
     sizes = materialize(sizes, "sizes")
-    groups = max(1, -(-sizes.count() // group_docs))
+    spark = sizes.sparkSession
+    groups = max(1, min(spark.sparkContext.defaultParallelism, -(-sizes.count() // LEAST_DOCS)), -(-sizes.count() // group_docs))
     kind = sizes.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +88,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOC
         doc, part, start, tokens, container = (np.concatenate(x) for x in zip(*rows, strict=True))
         return pd.DataFrame({"container": [f"{key[0]}-{c}" for c in container], "doc_id": doc, "part": part.astype("int32"), "start": start, "tokens": tokens})
 
-    dealt = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).repartition(groups, "grp")
     return dealt.groupBy("grp").applyInPandas(run, f"container string, doc_id {kind}, part int, start bigint, tokens bigint")
 
 

@@ -43,6 +43,12 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns"))))
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many records each kind of evidence decided."""
+    cut = truncation.truncated(truncation.values(table(spark, d, "answers"), table(spark, d, "turns"))).where("cut")
+    return cut.groupBy("tbl", "by").agg(F.count("*").alias("records"))
+
+
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     texts = budget.corpus_texts(table(spark, d, "chunks"), table(spark, d, "documents"))
     return budget.slices(budget.record_tokens(texts))
@@ -102,7 +108,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_repair": p2_repair, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_rates": p3_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_repair": p2_repair, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_rates": p3_rates, "p3_evidence": p3_evidence, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def _form_sql(x: str) -> str:

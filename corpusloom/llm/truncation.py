@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small_side
 
 #: A length is a limit of its source if so many running texts end openly at it, and these are this share of all values there.
 PILE = 3
@@ -24,6 +24,8 @@ RUNNING_WORDS = 8
 #: A pair of words seen `SEEN` times that ends a phrase at most at this rate doesn't end one here either.
 SEEN = 3
 RARE_END = 0.1
+#: A text is one that its source repeats from this share of the source's records (and three).
+COPIED = 0.001
 _MARK = r"(?s)\s*(?:…|\.{3}|\[…\]|\[\.{3}\]|\(suite\)|\(à suivre\)|\(continued\)|\(cont\.\)|\(يتبع\))\s*$"
 _CONTINUED = r"(?s)(?:\[…\]|\[\.{3}\]|\(suite\)|\(à suivre\)|\(continued\)|\(cont\.\)|\(يتبع\))\s*$"
 _CITED = r"\[\d+(?:\s*[,;-]\s*\d+)*\]\s*[.]?$"
@@ -48,19 +50,24 @@ def _steps(value: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(ends, r"\d+", "0"), r"[^\p{L}\p{M}\p{N}¶%]+"), lambda w: w != "")
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """`df` with columns that are worked out once per row, however often they are used: Spark would repeat a projection's
+    expressions wherever they are named, but not those of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def described(vals: DataFrame) -> DataFrame:
-    v = vals.withColumn("body", _body(F.col("value")))
-    last_line = F.element_at(F.split("body", "\n"), -1)
-    v = v.withColumns({
-        "marked": F.col("value").rlike(_MARK), "continued": F.col("value").rlike(_CONTINUED),
-        "broken": F.col("value").rlike("�\\s*$") | F.col("body").rlike(r"\[[^\]]*$") | F.col("body").rlike(r"[,،(\-–'’]$"),
-        "ended": F.col("body").rlike(_ENDED) | F.col("body").rlike(_CITED),
-        "item": last_line.rlike(_ITEM),
-        "tail": F.regexp_extract(F.lower("body"), r"([\p{L}\p{M}]+)$", 1),
-        "chars": F.length("value"), "bytes": F.octet_length("value"),
-        "steps": _steps(F.col("body")),
-    })
-    return v.withColumn("words", F.size(F.filter("steps", lambda w: w != "¶")))
+    v = _once(vals.drop("body", "steps", "chars", "bytes"), body=_body(F.col("value")), chars=F.length("value"), bytes=F.octet_length("value"), marked=F.col("value").rlike(_MARK), continued=F.col("value").rlike(_CONTINUED), bad=F.col("value").rlike("�\\s*$"))
+    last = F.substring_index("body", "\n", -1)
+    v = _once(v.drop("value"), last_line=last, end=F.right(last, F.lit(60)), steps=_steps(F.col("body")), copy=F.xxhash64("body"))
+    return v.select(
+        "tbl", "row_id", "source", "marked", "continued", "chars", "bytes", "steps", "copy",
+        (F.col("bad") | F.col("body").rlike(r"\[[^\]]*$") | F.col("end").rlike(r"[,،(\-–'’]$")).alias("broken"),
+        (F.col("end").rlike(_ENDED) | F.col("end").rlike(_CITED)).alias("ended"),
+        F.col("last_line").rlike(_ITEM).alias("item"),
+        F.regexp_extract(F.lower("last_line"), r"([\p{L}\p{M}]+)$", 1).alias("tail"),
+        F.size(F.filter("steps", lambda w: w != "¶")).alias("words"),
+    )
 
 
 def trie_nodes(described_values: DataFrame) -> DataFrame:
@@ -71,11 +78,12 @@ def trie_nodes(described_values: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.max(F.col("node") == F.col("word")).alias("is_word"))
 
 
-def phrase_ends(described_values: DataFrame) -> DataFrame:
-    """(a, b, seen, ends): pairs of words inside values, and how many of them end a sentence or an item."""
+def phrase_ends(described_values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, seen, ends): how often each pair of words of `asked` (a, b) occurs inside values, and ends a sentence or an item."""
     n = F.size("steps")
     trip = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.element_at("steps", i).alias("a"), F.element_at("steps", i + 1).alias("b"), F.element_at("steps", i + 2).alias("c")))
-    t = described_values.where(n >= 3).select(F.explode(trip).alias("t")).select("t.*").where((F.col("a") != "¶") & (F.col("b") != "¶"))
+    t = described_values.where(n >= 3).select(F.inline(trip)).where((F.col("a") != "¶") & (F.col("b") != "¶"))
+    t = t.join(small_side(asked), ["a", "b"], "left_semi")
     return t.groupBy("a", "b").agg(F.count("*").alias("seen"), F.sum(F.when(F.col("c") == "¶", 1).otherwise(0)).alias("ends"))
 
 
@@ -87,30 +95,55 @@ def limits(judged: DataFrame) -> DataFrame:
     ).select("source", "measure", "n")
 
 
-def truncated(vals: DataFrame) -> DataFrame:
-    """`vals` (tbl, row_id, source) with the column `cut`."""
+def judged(vals: DataFrame) -> DataFrame:
+    """`vals` (tbl, row_id, source) with the evidence of each: within_word (trie), at_limit (length), ends_rarely, ends_often,
+    broken, continued, marked, ended, running, copied. Only keys and flags move: values that don't end in a letter skip the
+    trie, and a text that recurs is counted by its hash."""
     d = materialize(described(vals), "values")
-    pair = d.withColumns({"a": F.try_element_at("steps", F.lit(-2)), "b": F.try_element_at("steps", F.lit(-1))})
-    same = d.groupBy("body").agg(F.count("*").alias("copies"))
-    j = pair.join(trie_nodes(d).withColumnRenamed("node", "tail"), "tail", "left").join(phrase_ends(d), ["a", "b"], "left").join(same, "body")
-    j = j.withColumns({
-        "within_word": (F.col("tail") != "") & F.col("is_word").isNotNull() & ~F.coalesce("is_word", F.lit(False)),
-        "ends_rarely": (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) >= SEEN) & (F.col("ends") <= RARE_END * F.col("seen")),
-        "ends_often": (F.coalesce("seen", F.lit(0)) >= SEEN) & (F.col("ends") >= 0.5 * F.col("seen")),
-        "running": (F.col("words") >= RUNNING_WORDS) & ~F.col("item"),
-    })
-    j = materialize(j.select("tbl", "row_id", "source", "marked", "continued", "broken", "ended", "running", "within_word", "ends_rarely", "ends_often", "copies", "chars", "bytes"), "endings")
-    at = limits(j)
-    by = {m: at.where(F.col("measure") == m).select(F.col("source").alias("s"), F.col("n").alias(m), F.lit(True).alias(f"at_{m}")) for m in ("chars", "bytes")}
-    for m, lim in by.items():
-        j = j.join(lim, j["source"].eqNullSafe(lim["s"]) & (j[m] == lim[m]), "left").drop(lim["s"]).drop(lim[m])
-    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    open_end = ~F.col("ended") & (F.col("copies") < 3)
-    unfinished = F.col("within_word") | F.col("ends_rarely") | at_limit
-    cut = F.col("broken") | F.col("continued") | (F.col("marked") & (unfinished | (F.col("running") & ~F.col("ended")))) | (
-        open_end & (unfinished | (F.col("running") & ~F.col("ends_often")))
+    flags = ["tbl", "row_id", "source", "marked", "continued", "broken", "ended", "item", "words", "chars", "bytes", "copy"]
+    rows = d.select(*flags, "tail", F.try_element_at("steps", F.lit(-2)).alias("a"), F.try_element_at("steps", F.lit(-1)).alias("b"))
+    rows = materialize(rows, "ends")
+    tails = rows.where((F.col("tail") != "") & ~F.col("ended"))
+    nodes = trie_nodes(d).withColumnRenamed("node", "tail").join(small_side(materialize(tails.select("tail").distinct(), "tails")), "tail", "left_semi")
+    pairs = materialize(tails.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs")
+    ends = materialize(phrase_ends(d, pairs), "phrase-ends")
+    some = tails.join(small_side(materialize(nodes, "nodes")), "tail", "left").join(small_side(ends), ["a", "b"], "left")
+    rest = rows.where((F.col("tail") == "") | F.col("ended"))
+    j = some.unionByName(rest, allowMissingColumns=True)
+    again = rows.where(~F.col("ended")).groupBy("source", "copy").agg(F.count("*").alias("copies")).where("copies > 1")
+    many = small_side(materialize(rows.groupBy(F.col("source").alias("m")).agg(F.count("*").alias("records")), "records"))
+    again = again.join(many, F.col("source").eqNullSafe(F.col("m"))).where(F.col("copies") >= F.greatest(F.lit(3), F.col("records") * COPIED))
+    again = small_side(materialize(again.select(F.col("source").alias("s"), F.col("copy").alias("c"), F.lit(True).alias("copied")), "copied"))
+    j = j.join(again, j["source"].eqNullSafe(again["s"]) & (j["copy"] == again["c"]), "left").drop("s", "c")
+    j = j.select(
+        "tbl", "row_id", "source", "marked", "continued", "broken", "ended", "chars", "bytes", F.coalesce("copied", F.lit(False)).alias("copied"),
+        (F.col("is_word").isNotNull() & ~F.coalesce("is_word", F.lit(False))).alias("within_word"),
+        (F.coalesce("seen", F.lit(0)) >= SEEN).alias("seen_often"), F.coalesce(F.col("ends") / F.col("seen"), F.lit(0.0)).alias("rate"),
+        ((F.col("words") >= RUNNING_WORDS) & ~F.col("item")).alias("running"),
+    ).withColumns({"ends_rarely": F.col("seen_often") & (F.col("rate") <= RARE_END), "ends_often": F.col("seen_often") & (F.col("rate") >= 0.5)})
+    j = materialize(j.drop("seen_often", "rate"), "endings")
+    at = materialize(limits(j), "limits")
+    for m in ("chars", "bytes"):
+        lim = small_side(materialize(at.where(F.col("measure") == m).select(F.col("source").alias("s"), F.col("n").alias("at_n"), F.lit(True).alias(f"at_{m}")), "limit"))
+        j = j.join(lim, j["source"].eqNullSafe(lim["s"]) & (j[m] == lim["at_n"]), "left").drop("s", "at_n")
+    return j.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+
+
+def truncated(vals: DataFrame) -> DataFrame:
+    """`vals` (tbl, row_id, source) with the columns `cut` and `by`, the evidence that decided: word, length, phrase, mark, open.
+
+    A value is cut that ends within a word (trie) or openly at a length where its source's values end openly (length), then by
+    how its last two words end elsewhere, by a mark of continuation or an open bracket, and last as running text without an end.
+    A text that a source repeats is not cut for the lack of an end alone."""
+    j = judged(vals)
+    open_end = ~F.col("ended")
+    unfinished = F.col("within_word") | F.col("ends_rarely") | F.col("at_limit")
+    by = (
+        F.when(open_end & F.col("within_word"), "word").when(open_end & F.col("at_limit"), "length").when(open_end & F.col("ends_rarely") & ~F.col("copied"), "phrase")
+        .when(F.col("broken") | F.col("continued") | (F.col("marked") & (unfinished | (F.col("running") & open_end))), "mark")
+        .when(open_end & F.col("running") & ~F.col("ends_often") & ~F.col("copied"), "open")
     )
-    return j.select("tbl", "row_id", "source", cut.alias("cut"))
+    return j.select("tbl", "row_id", "source", by.isNotNull().alias("cut"), by.alias("by"))
 
 
 def rates(judged: DataFrame) -> DataFrame:
