@@ -26,6 +26,8 @@ SEEN = 3
 RARE_END = 0.1
 #: A text is one that its source repeats from this share of the source's records (and three).
 COPIED = 0.001
+#: Characters at the end that hold any mark of continuation.
+MARK_CHARS = 20
 _MARK = r"(?s)\s*(?:…|\.{3}|\[…\]|\[\.{3}\]|\(suite\)|\(à suivre\)|\(continued\)|\(cont\.\)|\(يتبع\))\s*$"
 _CONTINUED = r"(?s)(?:\[…\]|\[\.{3}\]|\(suite\)|\(à suivre\)|\(continued\)|\(cont\.\)|\(يتبع\))\s*$"
 _CITED = r"\[\d+(?:\s*[,;-]\s*\d+)*\]\s*[.]?$"
@@ -40,8 +42,9 @@ def values(answers: DataFrame, turns: DataFrame) -> DataFrame:
     return a.unionByName(t).where(F.length(F.trim("value")) > 0).dropDuplicates(["tbl", "row_id"])
 
 
-def _body(value: Column) -> Column:
-    return F.rtrim(F.regexp_replace(value, _MARK, ""))
+def _end(x: Column) -> Column:
+    """Without white space at the end."""
+    return F.rtrim(x, F.lit(" \t\r\n\u00a0"))
 
 
 def _steps(value: Column) -> Column:
@@ -57,9 +60,12 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def described(vals: DataFrame) -> DataFrame:
-    v = _once(vals.drop("body", "steps", "chars", "bytes"), body=_body(F.col("value")), chars=F.length("value"), bytes=F.octet_length("value"), marked=F.col("value").rlike(_MARK), continued=F.col("value").rlike(_CONTINUED), bad=F.col("value").rlike("�\\s*$"))
+    v = _once(vals.select("tbl", "row_id", "source", "value"), whole=_end(F.col("value")), chars=F.length("value"), bytes=F.octet_length("value"))
+    v = _once(v.drop("value"), close=F.right("whole", F.lit(MARK_CHARS)))
+    v = _once(v, marked=F.col("close").rlike(_MARK), continued=F.col("close").rlike(_CONTINUED), bad=F.endswith("close", F.lit("\ufffd")))
+    v = _once(v, body=F.when(F.col("marked"), _end(F.regexp_replace("whole", _MARK, ""))).otherwise(F.col("whole"))).drop("whole", "close")
     last = F.substring_index("body", "\n", -1)
-    v = _once(v.drop("value"), last_line=last, end=F.right(last, F.lit(60)), steps=_steps(F.col("body")), copy=F.xxhash64("body"))
+    v = _once(v, last_line=last, end=F.right(last, F.lit(60)), steps=_steps(F.col("body")), copy=F.xxhash64("body"))
     return v.select(
         "tbl", "row_id", "source", "marked", "continued", "chars", "bytes", "steps", "copy",
         (F.col("bad") | F.col("body").rlike(r"\[[^\]]*$") | F.col("end").rlike(r"[,،(\-–'’]$")).alias("broken"),
