@@ -1,12 +1,17 @@
 """Problem 10: the subject areas of each document.
 
-Labelling functions vote on each sentence: the lexicon (whole term, several words of the area, one word), the address
-(URL), the section (title) and the source (areas that its texts favour). A latent model learns how accurate each function
-is from the counts of vote patterns alone (EM, starting from the votes of whole terms), and a sentence treats an area if
-its posterior probability is at least one half. A document has the areas of at least `SHARE` of its sentences.
+The areas are those of the table of areas. The lexicon is learned: of the word sequences (up to GRAM words) in labelled documents
+those stay that occur with one area far more often than chance allows. Labelling functions vote on each sentence: the lexicon
+(several words in sequence, several words of the area, one word), the address (URL), the section (title) and the source (areas that
+its labelled documents favour). A latent model learns how accurate each function is from the counts of vote patterns in all
+documents (EM, starting from the votes of word sequences), and a sentence treats an area if its posterior probability is at
+least one half. A document has the areas of at least `SHARE` of its sentences.
+
+The lexicon is fitted on at most FIT_DOCS labelled documents, those of the smallest hashes, each text once; all else is counted over
+all documents.
 
 Defined cases: null and blank texts give no row; a null title, url or source is no vote; repeated ids count once; ties
-at exactly the share count in. Whole texts are read; the model is learned from the pattern counts of all documents.
+at exactly the share count in; without labels only the names of the areas make up the lexicon. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -28,24 +33,17 @@ from .forms import fold_table, joined
 
 SHARE = 0.25
 ROUNDS = 30
-#: A source favours an area if the area's share of its whole terms is this many times its share in the corpus.
+#: A source favours an area if the area's share of its labelled documents is this many times its share of all of them.
 FAVOURED = 2.0
 
-#: The terms of each area, in the languages of the corpus.
-TERMS = {
-    "liquidity": "plan de financement d'urgence; pondération des expositions; LCR consolidé; coussin de trésorerie; matelas de fonds propres; exigences de solvabilité; ratio de couverture des sorties nettes; actifs liquides de premier rang; cash buffer; first-tier liquid assets; net outflow coverage ratio; weighting of exposures; own funds cushion; consolidated LCR; contingency funding plan; solvency requirements; requisitos de solvencia; colchón de tesorería; activos líquidos de primer nivel; plan de financiación de urgencia; ترجيح التعرضات; متطلبات الملاءة; احتياطي الخزينة; نسبة تغطية التدفقات الصافية; خطة التمويل الطارئة; هامش الأموال الذاتية; معامل السيولة المجمع; الأصول السائلة من الدرجة الأولى",
-    "aml": "transferts à destinations sensibles; déclarations de soupçon; identité du bénéficiaire effectif; cartographie du risque de blanchiment; opérations inhabituelles en espèces; vigilance renforcée sur la clientèle; dispositif de connaissance du client; filtrage des listes de gel; know-your-customer framework; transfers to sensitive destinations; screening of freezing lists; identity of the beneficial owner; suspicious activity reports; enhanced customer due diligence; unusual cash operations; laundering risk map; identidad del titular real; diligencia reforzada con los clientes; avisos de sospecha; operaciones inusuales en efectivo; نظام معرفة الزبون; التصريحات بالاشتباه; التحويلات نحو الوجهات الحساسة; اليقظة المعززة تجاه الزبناء; فحص لوائح التجميد; العمليات النقدية غير المعتادة; هوية المستفيد الفعلي; خريطة مخاطر غسل الأموال",
-    "governance": "fonction de conformité; séparation des pouvoirs exécutifs; charte de contrôle interne; conflits d'intérêts des mandataires; politique de rémunération des dirigeants; composition du conseil; mandat des administrateurs indépendants; comité des nominations; separation of executive powers; mandate of independent directors; compliance function; internal control charter; pay policy for senior managers; conflicts of interest of officers; nomination committee; composition of the board; carta de control interno; composición del consejo; comité de nombramientos; función de cumplimiento; ميثاق المراقبة الداخلية; تركيبة المجلس الإداري; تضارب مصالح الوكلاء; مهام الأعضاء المستقلين; الفصل بين السلط التنفيذية; وظيفة المطابقة; لجنة التعيينات; سياسة أجور المسيرين",
-    "consumer": "tarification des services courants; délai de rétractation; médiation des litiges avec les usagers; clôture gratuite des comptes; information précontractuelle de l'emprunteur; publicité adressée aux ménages; mobilité bancaire des particuliers; traitement des réclamations; free closure of accounts; pricing of everyday services; withdrawal period; precontractual notice to borrowers; mediation of household disputes; handling of complaints; advertising aimed at households; switching of current accounts; gestión de las quejas; plazo de desistimiento; publicidad dirigida a los hogares; cierre gratuito de cuentas; الوساطة في نزاعات المستهلكين; الإشهار الموجه للأسر; حركية الحسابات الخاصة; أجل التراجع; الإغلاق المجاني للحسابات; الإخبار السابق لتعاقد المقترض; معالجة الشكايات; تسعير الخدمات الجارية",
-    "markets": "compensation des titres; cotation des obligations; parts de fonds de placement; informations privilégiées; carnet d'ordres central; franchissement de seuil; ordres passés en séance; note d'information des émetteurs; units of investment funds; clearing of securities; crossing of thresholds; orders placed during the session; prospectus of issuers; central order book; inside information; listing of bonds; información privilegiada; cotización de los bonos; folleto de los emisores; órdenes en sesión; إدراج السندات; تجاوز العتبات; حصص صناديق التوظيف; المعلومات المميزة; بيان معلومات المصدرين; سجل الأوامر المركزي; الأوامر خلال الجلسة; مقاصة السندات",
-    "insurance": "contrats de réassurance; prime acquise; marge de solvabilité des assureurs; mutuelles de prévoyance; règlement des sinistres; provisions mathématiques; courtage d'assurance; garantie décès; mathematical reserves; provident mutual societies; solvency margin of insurers; insurance brokerage; death benefit; settlement of claims; earned premium; reinsurance treaties; contratos de reaseguro; prima devengada; liquidación de siniestros; reservas matemáticas; الاحتياطيات الحسابية; ضمان الوفاة; تسوية الحوادث; هامش ملاءة المؤمنين; وساطة التأمين; تعاضديات الاحتياط; عقود إعادة التأمين; الأقساط المكتسبة",
-    "payments": "agent de paiement principal; chèques impayés; cartes acceptées chez les commerçants; porte-monnaie mobile; virements instantanés; monnaie électronique; système de règlement brut; commissions d'interchange; mobile wallet; gross settlement system; interchange fees; instant transfers; unpaid cheques; electronic money; cards accepted by merchants; main payment agent; dinero electrónico; transferencias inmediatas; monedero móvil; cheques impagados; النقود الإلكترونية; وكيل الأداء الرئيسي; المحفظة المحمولة; عمولات التبادل; التحويلات الفورية; الشيكات غير المؤداة; نظام التسوية الإجمالية; البطاقات المقبولة لدى التجار",
-    "cyber": "test d'intrusion; incidents informatiques majeurs; sous-traitance des serveurs; sauvegarde hors site; hébergement en nuage; chiffrement des données; authentification à deux facteurs; plan de reprise informatique; cloud hosting; penetration test; computer recovery plan; two-factor authentication; encryption of data; off-site backup; outsourcing of servers; major computer incidents; prueba de intrusión; cifrado de los datos; copia de seguridad externa; incidentes informáticos graves; إسناد الخوادم إلى الغير; اختبار الاختراق; خطة استعادة الأنظمة; الاستضافة السحابية; التوثيق بعاملين; تشفير المعطيات; الحوادث المعلوماتية الكبرى; النسخ الاحتياطي خارج الموقع",
-    "accounting": "rapport des commissaires aux comptes; annexe aux bilans; consolidation des comptes; états de synthèse; provisionnement des créances en souffrance; plan comptable sectoriel; dépréciation des écarts d'acquisition; juste valeur des immobilisations; fair value of fixed assets; sector chart of accounts; notes to balance sheets; report of statutory auditors; annual statements; impairment of goodwill; consolidation of accounts; provisioning of bad debts; informe de los auditores; estados anuales; consolidación de las cuentas; deterioro del fondo de comercio; تقرير مراقبي الحسابات; المخطط المحاسبي القطاعي; القيمة العادلة للأصول الثابتة; ملحق الحصيلة; تجميع الحسابات; تكوين المؤن للديون المتعثرة; انخفاض قيمة الشهرة; القوائم التركيبية",
-    "climate": "taxonomie durable; trajectoire de neutralité; stress hydrique des emprunteurs; obligations vertes; émissions financées; scénarios de transition carbone; empreinte des financements; exposition aux inondations; financed emissions; green bonds; sustainable taxonomy; carbon transition scenarios; water stress of borrowers; path to neutrality; exposure to floods; footprint of lending; exposición a inundaciones; escenarios de transición climática; emisiones financiadas; bonos verdes; الانبعاثات الممولة; التصنيف المستدام; الإجهاد المائي للمقترضين; سيناريوهات الانتقال الكربوني; السندات الخضراء; التعرض للفيضانات; بصمة التمويلات; مسار الحياد",
-}
-AREAS = list(TERMS)
+#: Labelled documents of which the lexicon is fitted; words in a sequence; documents in which it must occur; the least share of them
+#: with its area; and the least logarithm of how unlikely the share is by chance.
+FIT_DOCS, GRAM, LEAST_DOCS, LEAST_PURE, SURPRISE = 4_000, 4, 3, 0.5, 8.0
+#: A single word counts from this length.
+WORD_CHARS = 5
 TERM, WORDS, WORD = 3, 2, 1
+Lexicon = dict[str, tuple[str, int]]
+_word = re.compile(r"[^\W\d_]+")
 _ends = re.compile(r"[.!?؟](?=\s|$)")
 
 
@@ -60,25 +58,95 @@ def fold(text: str) -> str:
     return text.translate(_plain())
 
 
-@lru_cache(1)
-def _automaton() -> ahocorasick.Automaton:
-    """Terms, and the words (5 letters or more) that only one area's terms hold."""
-    found: dict[str, list] = defaultdict(list)
-    owners: dict[str, set[int]] = defaultdict(set)
-    for k, area in enumerate(AREAS):
-        for term in TERMS[area].split(";"):
-            term = fold(term.strip())
-            found[term].append((k, TERM, ""))
-            for w in re.findall(r"[^\W\d_]{5,}", term):
-                owners[w].add(k)
-    for w, ks in owners.items():
-        if len(ks) == 1:
-            found[w].append((next(iter(ks)), WORD, w))
-    a = ahocorasick.Automaton()
-    for key, what in found.items():
-        a.add_word(key, (len(key), what))
-    a.make_automaton()
-    return a
+def _sequences(sentence: str) -> set[str]:
+    """The words (of WORD_CHARS letters) and the sequences of 2 to GRAM words of a folded sentence, as they stand there; nothing but
+    blanks, apostrophes and hyphens may lie between the words."""
+    out = set()
+    spans = [m.span() for m in _word.finditer(sentence)]
+    run = 0  # words before this one that it follows directly
+    for k, (a, b) in enumerate(spans):
+        run = run + 1 if k and not sentence[spans[k - 1][1] : a].strip(" '-") else 0
+        if b - a >= WORD_CHARS:
+            out.add(sentence[a:b])
+        for n in range(1, min(run, GRAM - 1) + 1):
+            out.add(sentence[spans[k - n][0] : b])
+    return out
+
+
+def labelled_docs(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """(doc_id, text, title, url, source, areas): at most `fit_docs` labelled documents with text, each text once."""
+    of = labels.where(F.col("doc_id").isNotNull() & F.col("area").isNotNull()).groupBy("doc_id").agg(F.collect_set("area").alias("areas"))
+    of = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+    d = docs.where(F.length(F.trim("text")) > 0).select("doc_id", "text", "title", "url", "source")
+    return d.join(F.broadcast(materialize(of, "area-labels")), "doc_id").dropDuplicates(["text"])  # at most fit_docs rows
+
+
+def learned_lexicon(labelled: DataFrame, areas: list[str]) -> Lexicon:
+    """The area and the number of words of each sequence that tells an area. `labelled`: as labelled_docs, a written table."""
+    known = {a: k for k, a in enumerate(areas)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs, flags = [], []
+            for text, title, source, of in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                body = _running_text(text, title or "", source or "")
+                bits = sum(1 << known[a] for a in of if a in known)
+                own = set().union(*map(_sequences, _ends.split(body)))
+                seqs += own
+                flags += [bits] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.string()), pa.array(flags, pa.int64())], ["seq", "bits"])
+
+    n = labelled.count()
+    if not n or not areas:
+        return {}
+    bit = [F.shiftright("bits", k).bitwiseAND(F.lit(1)) for k in range(len(areas))]
+    base = labelled.agg(*[F.avg(F.array_contains("areas", a).cast("double")).alias(f"a{k}") for k, a in enumerate(areas)]).first()
+    per = labelled.select("text", "title", "source", "areas").mapInArrow(run, "seq string, bits bigint").groupBy("seq").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"n{k}") for k, x in enumerate(bit)])
+    per = per.where(F.col("n") >= LEAST_DOCS)
+    options = []
+    for k in range(len(areas)):
+        q = min(max(base[f"a{k}"] or 0.0, 0.5 / n), 1 - 0.5 / n)
+        p = F.col(f"n{k}") / F.col("n")
+        kl = F.col("n") * (p * F.log(F.greatest(p, F.lit(1e-9)) / q) + (1 - p) * F.log(F.greatest(1 - p, F.lit(1e-9)) / (1 - q)))
+        options.append(F.struct(F.when((p > q) & (p >= LEAST_PURE), kl).otherwise(0.0).alias("kl"), F.lit(k).alias("k")))
+    best = per.select("seq", F.array_max(F.array(*options)).alias("b")).where(F.col("b.kl") >= SURPRISE).select("seq", "b.k")
+    return {r["seq"]: (areas[r["k"]], len(_word.findall(r["seq"]))) for r in best.collect()}  # of a bounded number of documents
+
+
+def named_lexicon(subject_areas: DataFrame) -> Lexicon:
+    """The words of the areas' own names that only one area has. `subject_areas`: area, label_fr, label_en; a table of areas."""
+    owners: dict[str, set[str]] = defaultdict(set)
+    for r in subject_areas.where(F.col("area").isNotNull()).select("area", "label_fr", "label_en").distinct().collect():
+        for name in (r["label_fr"], r["label_en"]):
+            for w in _word.findall(fold(name or "")):
+                if len(w) >= WORD_CHARS:
+                    owners[w].add(r["area"])
+    return {w: (next(iter(own)), 1) for w, own in owners.items() if len(own) == 1}
+
+
+class Matcher:
+    """Finds the sequences of a lexicon in folded texts."""
+
+    def __init__(self, lexicon: Lexicon, areas: list[str]):
+        self.number = {a: k for k, a in enumerate(areas)}
+        self.automaton = ahocorasick.Automaton()
+        for seq, (area, words) in lexicon.items():
+            self.automaton.add_word(seq, (len(seq), self.number[area], TERM if words > 1 else WORD, seq))
+        if lexicon:
+            self.automaton.make_automaton()
+        self.empty = not lexicon
+
+    def __call__(self, text: str) -> Iterator[tuple[int, int, int, str]]:
+        """(end, area, kind, sequence) of each whole-word match."""
+        for end, (n, k, kind, seq) in () if self.empty else self.automaton.iter(text):
+            start = end - n + 1
+            if (start and text[start - 1].isalpha() and text[start - 1] != "و") or (end + 1 < len(text) and text[end + 1].isalpha()):
+                continue
+            yield end, k, kind, seq
+
+    def named(self, text: str) -> set[int]:
+        """The areas of the sequences of several words."""
+        return {k for _, k, kind, _ in self(fold(text)) if kind == TERM}
 
 
 def _names(line: str, source: str) -> bool:
@@ -102,7 +170,7 @@ def _running_text(text: str, title: str, source: str) -> str:
     return " ".join(" ".join(kept).split())
 
 
-def votes(text: str, title: str | None, url: str | None, source: str | None) -> tuple[int, Counter]:
+def votes(find: Matcher, text: str, title: str | None, url: str | None, source: str | None) -> tuple[int, Counter]:
     """(sentences, Counter of (area, lexicon, address, section) over sentences with any vote)."""
     body = _running_text(text, title or "", source or "")
     stops = [m.end() for m in _ends.finditer(body)]
@@ -110,16 +178,12 @@ def votes(text: str, title: str | None, url: str | None, source: str | None) ->
         stops.append(len(body) + 1)
     at: dict[tuple[int, int], set] = defaultdict(set)
     last = len(stops) - 1
-    for end, (n, what) in _automaton().iter(body):
-        start = end - n + 1
-        if (start and body[start - 1].isalpha() and body[start - 1] != "و") or (end + 1 < len(body) and body[end + 1].isalpha()):
-            continue
+    for end, k, kind, seq in find(body):
         i = bisect_left(stops, end + 1)
         if i <= last:
-            for k, kind, w in what:
-                at[i, k].add(TERM if kind == TERM else w)
-    address = {k for k, _ in _terms_of(unquote(url or "").replace("-", " "))}
-    section = {k for k, _ in _terms_of(title or "")}
+            at[i, k].add(TERM if kind == TERM else seq)
+    address = find.named(unquote(url or "").replace("-", " "))
+    section = find.named(title or "")
     out: Counter = Counter()
     for (_, k), seen in at.items():
         out[k, TERM if TERM in seen else WORDS if len(seen) > 1 else WORD, k in address, k in section] += 1
@@ -129,23 +193,27 @@ def votes(text: str, title: str | None, url: str | None, source: str | None) ->
     return len(stops), out
 
 
-def _terms_of(text: str) -> set[tuple[int, int]]:
-    folded = fold(text)
-    return {(k, kind) for _, (_, what) in _automaton().iter(folded) for k, kind, _ in what if kind == TERM}
+_matchers: dict[int, Matcher] = {}
 
 
-def document_votes(docs: DataFrame) -> DataFrame:
+def document_votes(docs: DataFrame, lexicon: Lexicon, areas: list[str]) -> DataFrame:
     """(doc_id, source, sentences, area, lexicon, address, section, n): the pattern counts of each document; area null
     for a document without any vote."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((hash((tuple(sorted(lexicon.items())), tuple(areas))), lexicon, areas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lex, names = shared.value
+        if key not in _matchers:
+            _matchers.clear()
+            _matchers[key] = Matcher(lex, names)
+        find = _matchers[key]
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             ids, texts, titles, urls, sources = (c.to_pylist() for c in b.columns)
             for doc, text, title, url, source in zip(ids, texts, titles, urls, sources, strict=True):
-                n, out = votes(text, title, url, source)
-                rows = [(AREAS[k], lex, ad, se, m) for (k, lex, ad, se), m in out.items()] or [(None, 0, False, False, 0)]
+                n, out = votes(find, text, title, url, source)
+                rows = [(names[k], lex_, ad, se, m) for (k, lex_, ad, se), m in out.items()] or [(None, 0, False, False, 0)]
                 for r in rows:
                     for c, v in zip(cols, (doc, source, n, *r), strict=True):
                         c.append(v)
@@ -156,63 +224,84 @@ def document_votes(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {kind}, source string, sentences int, area string, lexicon int, address boolean, section boolean, n int")
 
 
-def favoured(v: DataFrame) -> DataFrame:
-    """(source, area): the areas that a source's whole terms favour."""
-    t = v.where(F.col("lexicon") == TERM).groupBy("source", "area").agg(F.sum("n").alias("n"))
-    per_source = t.groupBy("source").agg(F.sum("n").alias("of_source"))
-    per_area = t.groupBy("area").agg(F.sum("n").alias("of_area"))
-    total = t.agg(F.sum("n").alias("total"))
-    j = t.join(per_source, "source").join(F.broadcast(per_area), "area").crossJoin(F.broadcast(total))  # at most ten rows, and one
-    return j.where(F.col("n") / F.col("of_source") >= FAVOURED * F.col("of_area") / F.col("total")).select("source", "area", F.lit(True).alias("favours"))
+def favoured(labelled: DataFrame) -> DataFrame:
+    """(source, area, favours): the areas that the labelled documents of a source favour, whatever their texts say."""
+    n = labelled.count()
+    t = labelled.where(F.col("source").isNotNull()).select("source", F.explode("areas").alias("area"))
+    per_source = labelled.groupBy("source").agg(F.count("*").alias("of_source"))
+    per_area = t.groupBy("area").agg(F.count("*").alias("of_area"))
+    j = t.groupBy("source", "area").agg(F.count("*").alias("n")).join(per_source, "source").join(per_area, "area")  # of FIT_DOCS rows
+    return j.where((F.col("n") >= 2) & (F.col("n") / F.col("of_source") >= FAVOURED * F.col("of_area") / max(1, n))).select("source", "area", F.lit(True).alias("favours"))
 
 
-#: What is believed of the lexicon before any counts, as pseudo-counts of its votes where the area is and isn't treated.
-#: It decides on a handful of documents and vanishes against a corpus.
-BELIEF = {TERM: (8.0, 0.1), WORDS: (1.0, 0.5), WORD: (0.5, 2.0), 0: (0.5, 97.0)}
+#: What is believed of the lexicon before any counts: the shares of its votes where the area is and isn't treated. The belief weighs
+#: as much as all the sentences that a sequence votes for, or against: what the model learns is how far the counts depart from it, and
+#: how accurate the other functions are.
+BELIEF = {TERM: (0.86, 0.002), WORDS: (0.05, 0.001), WORD: (0.04, 0.007), 0: (0.05, 0.99)}
 
 
-def learn(patterns: dict[tuple, int], silent: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """The posterior of each vote pattern (lexicon, address, section, source) by EM over conditionally independent
-    functions. `silent`: sentence-area pairs without any vote."""
+def learn(patterns: dict[tuple, int], silent: int, favoured_silent: int = 0, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """The posterior of each vote pattern (lexicon, address, section, source) by EM. The address repeats the section in many
+    collections, so the two count as one function of four values; the others are taken as independent given the truth.
+    `silent`, `favoured_silent`: sentence-area pairs without any vote, or with that of the source alone."""
     counts = Counter(patterns)
     counts[0, False, False, False] += silent
+    counts[0, False, False, True] += favoured_silent
+    views = [(p[0], p[1:3], p[3]) for p in counts]
     post = {p: 0.98 if p[0] == TERM else 0.6 if p[0] == WORDS else 0.2 if p[0] == WORD else 0.01 for p in counts}
+    everything = max(1, sum(counts.values()))
+    named = max(8.0, sum(n for p, n in counts.items() if p[0] == TERM))
     for _ in range(rounds):
-        prior = sum(post[p] * n for p, n in counts.items()) / max(1, sum(counts.values()))
+        prior = sum(post[p] * n for p, n in counts.items()) / everything
         table = []
-        for f in range(4):
+        for f in range(3):
             yes: Counter = Counter()
             no: Counter = Counter()
-            for p, n in counts.items():
-                yes[p[f]] += post[p] * n
-                no[p[f]] += (1 - post[p]) * n
-            for v in BELIEF if f == 0 else (False, True):
-                a, b = BELIEF[v] if f == 0 else (0.5, 0.5)
-                yes[v] += a
-                no[v] += b
+            for p, v in zip(counts, views, strict=True):
+                yes[v[f]] += post[p] * counts[p] + 0.5 * (f > 0)
+                no[v[f]] += (1 - post[p]) * counts[p] + 0.5 * (f > 0)
+            if f == 0:
+                for v, (a, b) in BELIEF.items():
+                    yes[v] += a * named
+                    no[v] += b * everything
             table.append({v: (yes[v] / yes.total(), no[v] / no.total()) for v in yes})
-        for p in counts:
+        for p, v in zip(counts, views, strict=True):
             a, b = prior, 1 - prior
-            for f in range(4):
-                ya, nb = table[f][p[f]]
+            for f in range(3):
+                ya, nb = table[f][v[f]]
                 a, b = a * ya, b * nb
             post[p] = a / (a + b) if a + b else 0.0
     return post
 
 
-def document_areas(docs: DataFrame) -> DataFrame:
+def document_areas(docs: DataFrame, subject_areas: DataFrame, subject_labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(doc_id, area, share): the areas of at least SHARE of each document's sentences."""
-    v = materialize(document_votes(docs), "area-votes")
-    fav = small_side(materialize(favoured(v), "area-sources"))
+    areas = sorted(r["area"] for r in subject_areas.where(F.col("area").isNotNull()).select("area").distinct().collect())
+    labelled = materialize(labelled_docs(docs, subject_labels, fit_docs), "area-labelled")
+    lexicon = named_lexicon(subject_areas) | learned_lexicon(labelled, areas)
+    v = materialize(document_votes(docs, lexicon, areas), "area-votes")
+    fav = small_side(materialize(favoured(labelled), "area-sources"))
     v = v.join(fav, ["source", "area"], "left").withColumn("favours", F.coalesce("favours", F.lit(False)))
     features = ["lexicon", "address", "section", "favours"]
     seen = v.where(F.col("area").isNotNull()).groupBy(*features).agg(F.sum("n").alias("n")).collect()  # at most 4 x 2 x 2 x 2 rows
-    sentences = v.select("doc_id", "sentences").distinct().agg(F.sum("sentences")).first()[0] or 0
     patterns = {(r["lexicon"], r["address"], r["section"], r["favours"]): r["n"] for r in seen}
-    post = learn(patterns, max(0, sentences * len(AREAS) - sum(patterns.values())))
+    per_source = v.select("doc_id", "source", "sentences").distinct().groupBy("source").agg(F.sum("sentences").alias("sentences"))
+    fav_areas = fav.groupBy("source").agg(F.count("*").alias("areas"))
+    s = per_source.join(fav_areas, "source", "left").agg(F.sum("sentences").alias("all"), F.sum(F.col("sentences") * F.coalesce("areas", F.lit(0))).alias("favoured")).first()
+    favoured_silent = max(0, (s["favoured"] or 0) - sum(n for p, n in patterns.items() if p[3]))
+    silent = max(0, (s["all"] or 0) * len(areas) - sum(patterns.values()) - favoured_silent)
+    post = learn(patterns, silent, favoured_silent)
     rows = [(*p, x) for p, x in post.items()]
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame(rows or [(0, False, False, False, 0.0)], "lexicon int, address boolean, section boolean, favours boolean, p double"))
     sure = v.dropDuplicates(["doc_id", "area", *features]).join(known, features).where(F.col("p") >= 0.5)
     share = sure.groupBy("doc_id", "area", "sentences").agg(F.sum("n").alias("n"))
     return share.where(F.col("n") >= SHARE * F.col("sentences")).select("doc_id", "area", (F.col("n") / F.col("sentences")).alias("share"))
+
+
+def agreement(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: labels, found and both, over the labelled documents. `labels`: doc_id, area; `none` is no area."""
+    want = labels.where("area != 'none' AND doc_id IS NOT NULL").select("doc_id", "area").distinct().withColumn("want", F.lit(1))
+    got = found.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "area").distinct().withColumn("got", F.lit(1))
+    j = want.join(got, ["doc_id", "area"], "full_outer")
+    return j.agg(F.count("want").alias("labels"), F.count("got").alias("found"), F.count_if(F.col("want").isNotNull() & F.col("got").isNotNull()).alias("both"))

@@ -96,19 +96,30 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.token_sizes(table(spark, d, "documents")))
 
 
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    return areas.document_areas(*(table(spark, d, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return areas.document_areas(table(spark, d, "documents")).select("doc_id", "area").distinct()
+    return _areas(spark, d).select("doc_id", "area").distinct()
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of the documents that have each area."""
-    docs = table(spark, d, "documents")
-    n = docs.agg(F.countDistinct("doc_id").alias("documents"))
-    per = areas.document_areas(docs).groupBy("area").agg(F.countDistinct("doc_id").alias("having"))
+    n = table(spark, d, "documents").agg(F.countDistinct("doc_id").alias("documents"))
+    per = _areas(spark, d).groupBy("area").agg(F.countDistinct("doc_id").alias("having"))
     return per.crossJoin(F.broadcast(n)).select("area", "having", "documents", F.round(F.col("having") / F.col("documents"), 6).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_repair": p2_repair, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_rates": p3_rates, "p3_evidence": p3_evidence, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """labels, found, both: areas found with the labels of one half of the documents, compared with those of the other half."""
+    labels = table(spark, d, "subject_labels")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = areas.document_areas(table(spark, d, "documents"), table(spark, d, "subject_areas"), labels.where(half))
+    return areas.agreement(found, labels.where(~half))
+
+
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_repair": p2_repair, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_rates": p3_rates, "p3_evidence": p3_evidence, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares, "p10_held_out": p10_held_out}
 
 
 def _form_sql(x: str) -> str:

@@ -147,9 +147,10 @@ def test_clashing_columns(spark):
     out = lines.without_lines(wide, found)
     assert set(out.columns) == set(wide.columns) and {r["text"] for r in out.collect()} == {f"texte {i}" for i in range(6)}
     assert scan.by_source(wide, spark.createDataFrame([("f0", "native")], "file string, text_source string")).where("not was_scanned").count() == 1
-    docs = spark.createDataFrame([(1, "Le coussin de trésorerie est revu.", "t", "u", "ssss")], DOC).withColumns({c: F.lit("z") for c in own})
-    assert [r["area"] for r in areas.document_areas(docs).collect()] == ["liquidity"]
-    assert pack.pack(pack.token_sizes(docs)).count() == 1 if TOKENIZERS else True
+    docs, names, labels = _area_tables(spark, [(1, "Le coussin de trésorerie est revu.", "t", "u", "ssss")])
+    docs = docs.withColumns({c: F.lit("z") for c in own})
+    assert [r["area"] for r in areas.document_areas(docs, names, labels.withColumns({"n": F.lit(1), "share": F.lit(2)})).where("doc_id = 1").collect()] == ["liquidity"]
+    assert pack.pack(pack.token_sizes(docs)).count() == 49 if TOKENIZERS else True
 
 
 def test_lines_of_nothing(spark):
@@ -442,15 +443,42 @@ def test_split_items(spark):
 
 # 10 areas ---------------------------------------------------------------------------------------------------------
 
+AREAS = [("payments", "Moyens de paiement", "Payments"), ("liquidity", "Liquidité et solvabilité", "Liquidity and solvency"), (None, None, None)]
+
+
+def _area_tables(spark, docs=()):
+    """24 labelled documents an area, which say so in two different phrases, and the given ones."""
+    said = {"payments": ("le porte-monnaie mobile", "les virements instantanés"), "liquidity": ("le coussin de trésorerie", "les actifs de premier rang")}
+    rows, labels = [], []
+    for k, (area, (a, b)) in enumerate(said.items()):
+        for i in range(24):
+            doc = 1000 + 100 * k + i
+            rows.append((doc, f"La société {i} décrit {a if i % 3 else b} ici. Le texte {'abcdefghijklmnopqrstuvwx'[i] * 5} prend effet. L'autorité vérifie {b if i % 2 else a} aussi.", f"Note {i}", None, "s"))
+            labels += [(doc, area, "x"), (doc, area, "y")]
+    labels += [(1, "none", "x"), (None, "payments", "x"), (77, None, "x")]
+    return spark.createDataFrame(rows + list(docs), DOC), spark.createDataFrame(AREAS, "area string, label_fr string, label_en string"), spark.createDataFrame(labels, "doc_id bigint, area string, annotator string")
+
+
 def test_areas(spark):
     pay, liq, none = "Le porte-monnaie mobile est contrôlé.", "Le coussin de trésorerie est revu.", "Le secrétariat répond sous dix jours."
     rows = [(1, " ".join([pay] * 3 + [none]), "Note", None, "s"), (2, " ".join([liq, none, none, none]), None, None, None), (3, " ".join([liq] + [none] * 4), "x", "u", "s"), (4, None, None, None, None), (5, "  ", "", "", ""), (6, f"{pay} {liq}", "t", "u", "s"), (7, "Le coussin de\ntrésorerie est rеvu. Le cous-\nsin de trésorerie est là.", "t", "u", "s")]
-    rows += [(100 + i, f"{pay} {none}", "n", "u", "s") for i in range(20)]
+    rows += [rows[0]]
     got = {}
-    for r in areas.document_areas(spark.createDataFrame(rows, DOC)).collect():
+    for r in areas.document_areas(*_area_tables(spark, rows)).collect():
         got.setdefault(r["doc_id"], set()).add(r["area"])
     assert got[1] == {"payments"} and got[2] == {"liquidity"} and 3 not in got and 4 not in got and 5 not in got and got[6] == {"payments", "liquidity"} and got[7] == {"liquidity"}
-    assert areas.document_areas(spark.createDataFrame([], DOC)).count() == 0
+    docs, names, labels = _area_tables(spark)
+    assert areas.document_areas(docs.limit(0), names, labels).count() == 0
+    assert areas.document_areas(docs, names, labels.limit(0)).count() == 0 and areas.document_areas(docs, names.limit(0), labels).count() == 0
+
+
+def test_lexicon_is_learned_from_labels(spark):
+    docs, names, labels = _area_tables(spark)
+    lex = areas.learned_lexicon(areas.labelled_docs(docs, labels), ["liquidity", "payments"])
+    assert lex["porte-monnaie mobile"] == ("payments", 3) and lex["coussin de tresorerie"] == ("liquidity", 3) and "prend effet" not in lex and "la societe" not in lex
+    assert areas.named_lexicon(names)["paiement"] == ("payments", 1)
+    want = areas.agreement(areas.document_areas(docs, names, labels), labels).first()
+    assert want["labels"] == 48 and want["both"] >= 46
 
 
 def test_latent_model_prefers_accurate_functions():
