@@ -538,3 +538,24 @@ def test_texts_come_out_whole(spark):
     assert all((r["text"] is None) == (texts[r["key"]] is None) for r in got if r["kind"] == "chunk")
     want = {("chunks.text", i, t) for i, t in texts.items()} | {("golden.question", r["id"], r["question"]) for r in golden.collect()} | {("golden.evidence.quote", r["id"], r["evidence"] and r["evidence"]["quote"]) for r in golden.collect()}
     assert {tuple(r) for r in queries.p5_forms(spark, d).collect()} == {(c, i, None if t is None else forms.print_alike(t)) for c, i, t in want}
+
+
+def test_edits_that_cannot_give_a_known_word_are_passed_over():
+    r = _reader()
+    for w in ("exigcr", "mesurcs", "respcnsabi|ité", "conf0rmement", "lcs", "xyzzyx"):
+        every = [p for p in r.editor.proposals(w, -3.0) if p[1] in r.firm]
+        assert [p for p in r.editor.proposals(w, -3.0, r.threes) if p[1] in r.firm] == every
+
+
+def test_line_ends_and_furniture_are_learned():
+    ends = [(scan.join_features(a, b, set()), y) for a, b, y in (("établis", "sement", "J"), ("mesu", "res", "J"), ("porte", "monnaie", "H"), ("porte", "parole", "H"))]
+    e = scan.CharacterEditor.fit([], ends)
+    assert e.prefers(scan.join_features("contrôles", "sement", set()), "J", "H") > 0 > e.prefers(scan.join_features("porte", "avions", set()), "J", "H")
+    assert scan.CharacterEditor().prefers(("j",), "J", "H") is None
+    native = "La banque contrôle 12 agences.\n12\nLe conseil vérifie."
+    pages = [(12, f"12\n{native.replace(chr(10) + '12', '')}", native.replace("\n12", "")) for _ in range(6)]
+    pages += [(12, "La banque contrôle\n12\nagences du pays.", "La banque contrôle\n12\nagences du pays.") for _ in range(6)]
+    m = scan.CharacterEditor.fit([], [], scan._furniture(pages, None))
+    r = scan.Reader(m.weights, {})
+    assert r.kinds("12\nLa banque contrôle.\nLe conseil vérifie.", None, 12, 12) == [(0, "page")]
+    assert r.kinds("La banque contrôle\n12\nagences du pays.", None, 12, 12) == []
