@@ -149,35 +149,12 @@ def clean_page(x: Column | str) -> Column:
     return collapse(y)
 
 
-def word_levenshtein(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word of a pair becomes one character."""
-    both = F.array_distinct(F.concat(a, b))
-    chars = lambda ws: F.array_join(F.transform(ws, lambda w: _code(F.array_position(both, w))), "")
-    return F.levenshtein(chars(a), chars(b))
-
-
-def _code(n: Column) -> Column:
-    """A CJK character for a number."""
-    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long") + 0x4E00), 4, "0")), "UTF-16BE")
-
-
 def number_tokens(x: Column | str) -> Column:
     """Numbers and percentages without blanks, with repeats."""
     found = F.regexp_extract_all(normalize(x), F.lit(r"\d+(?:[.,]\d+)*(?:\s*%)?"), F.lit(0))
     return F.transform(found, lambda s: F.regexp_replace(s, r"\s+", ""))
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    count = lambda arr, w: F.size(F.filter(arr, lambda y: y == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
-
-
-def bag_f1(a: Column, b: Column) -> Column:
-    both = multiset_overlap(a, b)
-    return F.when(both == 0, 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
-
-
 def reference_tokens(x: Column | str) -> Column:
     """Legal references in one spelling: ref:9/w/2098 and ref:01-23."""
     t = _col(x)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +136,37 @@ def page_accuracy(reference: DataFrame, scanned: DataFrame) -> DataFrame:
     r = reference.dropDuplicates(["file", "page"]).select("file", "page", F.col("text").alias("rt")).where(F.trim("rt") != "")
     s = scanned.dropDuplicates(["file", "page"]).select("file", "page", F.col("text").alias("st"))
     j = r.join(s, ["file", "page"], "left").select("file", "page", "rt", F.coalesce("st", F.lit("")).alias("st"))
-    rn, sn = T.normalize("rt"), T.normalize("st")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     numbers = lambda c: T.number_tokens(T.strip_page_number(c, "page"))
-    return j.select(
-        "file", "page", F.levenshtein(rn, sn).alias("char_edits"), F.length(rn).alias("chars"), T.word_levenshtein(words(rn), words(sn)).alias("word_edits"), F.size(words(rn)).alias("words"),
-        F.round(T.bag_f1(words(rn), words(sn)), 6).alias("bag_f1"), T.multiset_overlap(numbers("rt"), numbers("st")).alias("numbers_found"), F.size(numbers("rt")).alias("numbers"),
-    )
+    # a generator works out its columns once per row; a projection would repeat them in every expression that names them
+    once = F.struct(T.normalize("rt").alias("r"), T.normalize("st").alias("s"), numbers("rt").alias("rnum"), numbers("st").alias("snum"))
+    j = j.select("file", "page", F.inline(F.array(once))).select("file", "page", "r", "s", words(F.col("r")).alias("rw"), words(F.col("s")).alias("sw"), "rnum", "snum")
+    kinds = {f.name: f.dataType.simpleString() for f in j.schema.fields[:2]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rw, sw, rn, sn = (b.column(k).to_pylist() for k in range(4, 8))
+            common = [(Counter(x) & Counter(y)).total() for x, y in zip(rw, sw, strict=True)]
+            f1 = [round(2.0 * c / (len(x) + len(y)), 6) if c else 0.0 for c, x, y in zip(common, rw, sw, strict=True)]
+            found = [(Counter(x) & Counter(y)).total() for x, y in zip(rn, sn, strict=True)]
+            edits = [word_edits(x, y) for x, y in zip(rw, sw, strict=True)]
+            cols = [b.column(k) for k in range(4)] + [pa.array(edits, pa.int32()), pa.array(list(map(len, rw)), pa.int32()), pa.array(f1, pa.float64()), pa.array(found, pa.int32()), pa.array(list(map(len, rn)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["file", "page", "r", "s", "word_edits", "words", "bag_f1", "numbers_found", "numbers"])
+
+    out = j.mapInArrow(run, f"file {kinds['file']}, page {kinds['page']}, r string, s string, word_edits int, words int, bag_f1 double, numbers_found int, numbers int")
+    return out.select("file", "page", F.levenshtein("r", "s").alias("char_edits"), F.length("r").alias("chars"), "word_edits", "words", "bag_f1", "numbers_found", "numbers")
+
+
+def word_edits(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists, a row of the table at a time: what a row takes from its left neighbour is a running minimum."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in (a, b))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, w in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+        row = np.minimum.accumulate(np.append(i, best) - steps) + steps
+    return int(row[-1])
 
 
 def file_accuracy(pages: DataFrame) -> DataFrame:

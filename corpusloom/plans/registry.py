@@ -95,7 +95,7 @@ _CHUNK_ROWS = "SELECT DISTINCT id AS k, text AS t FROM chunks WHERE text IS NOT
 
 
 def bm25_sql(k: int) -> str:
-    return f"""tok AS (SELECT id AS chunk_id, {tokens_sql('text')} AS ts FROM (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL)),
+    return f"""tok AS (SELECT id AS chunk_id, {tokens_sql('whole')} AS ts FROM (SELECT DISTINCT id, concat_ws(' ', reference, section, text) AS whole FROM chunks WHERE text IS NOT NULL)),
   stats AS (SELECT count(*) AS chunks, greatest(coalesce(avg(len(ts)), 1), 1) AS avg_len FROM tok),
   post AS (SELECT chunk_id, n, term, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS n, unnest(ts) AS term FROM tok) GROUP BY ALL),
   wt AS (SELECT chunk_id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)) AS weight, chunks FROM post, stats),

@@ -10,7 +10,7 @@ from corpusloom.streaming import jobs
 
 def test_windows_lose_no_word():
     text = " ".join(f"mot{i}" for i in range(400))
-    spans = list(chunking.windows(text, 0, len(text), 120, 30))
+    spans = list(chunking.Outline(text).windows(0, len(text), 120, 30))
     assert all(b - a <= 120 for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == len(text)
     words = {w for a, b in spans for w in text[a:b].split()}
     assert words == set(text.split())
@@ -43,6 +43,37 @@ def test_chunking_edges(spark):
         chunking.chunk_documents(df, "other")
     with pytest.raises(ValueError):
         chunking.page_spans(["a"], "fixed", 10, 10)
+    far = spark.createDataFrame([("a", 1, "un"), ("a", 5, "deux trois"), ("a", 9, " ")], schema)
+    assert [tuple(r)[2:5] for r in chunking.chunk_documents(far, "sentence", 7, 0).collect()] == [("un deux", 1, 5), ("trois", 5, 5)]
+
+
+def test_packs_match_a_plain_walk():
+    """Sentences walked one by one, as the definition says, against the searches in the outline."""
+    rng = np.random.default_rng(3)
+    words = ["mot", "phrase", "banque", "taux ;", "fin.", "Note :", "12", "3 %", "long" * 9, "Suite.", "(a)"]
+    for _ in range(150):
+        text = " ".join(rng.choice(words, rng.integers(1, 120)))
+        o, size, overlap = chunking.Outline(text), 80, int(rng.integers(0, 60))
+        begin, stop = o.sentences(0, len(text))
+        assert "".join(text[begin[0] : stop[-1]]) == text and not any(text[a:b].rstrip().endswith(":") for a, b in list(zip(begin, stop, strict=True))[:-1])
+        want, pack = [], []
+        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+            if b - a > size:
+                want += [(pack[0][0], pack[-1][1])] if pack else []
+                pack = []
+                want += [(a, b)] if b - a <= 2 * size and chunking.table_like(text[a:b]) else list(o.windows(a, b, size, overlap))
+                continue
+            if pack and b - pack[0][0] > size:
+                want.append((pack[0][0], pack[-1][1]))
+                pack = [u for u in pack if pack[-1][1] - u[0] <= overlap and b - u[0] <= size]
+            pack.append((a, b))
+        want += [(pack[0][0], pack[-1][1])] if pack else []
+        got = list(o.packs(0, len(text), size, overlap, 2 * size))
+        assert got == (want if len(text) > size else [(0, len(text))])
+
+
+def test_numbers_of_headings():
+    assert [chunking.heading_number(x) for x in ("premier", "12 bis", "3 . 2", "7", "الأولى")] == [("premier", 1), ("12 bis", 12), ("3.2", None), ("7", 7), ("premier", 1)]
 
 
 def _chunks(spark):

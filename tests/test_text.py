@@ -1,4 +1,5 @@
 import hashlib
+import random
 import uuid
 from datetime import date
 
@@ -11,7 +12,16 @@ from corpusloom.operators import evaluate
 
 def test_edit_distances(one, spark):
     assert one(F.levenshtein(F.col("a"), F.col("b")), a="kitten", b="sitting") == 3
-    assert one(T.word_levenshtein(F.split("a", " "), F.split("b", " ")), a="le taux est fixé", b="taux est fixe") == 2
+    assert evaluate.word_edits("le taux est fixé".split(), "taux est fixe".split()) == 2 and evaluate.word_edits([], ["a", "b"]) == 2 and evaluate.word_edits(["a"], []) == 1
+    rng = random.Random(1)
+    for _ in range(60):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        table = [list(range(len(b) + 1))]
+        for x in a:
+            table.append([table[-1][0] + 1])
+            for k, y in enumerate(b):
+                table[-1].append(min(table[-2][k + 1] + 1, table[-1][k] + 1, table[-2][k] + (x != y)))
+        assert evaluate.word_edits(a, b) == table[-1][-1]
 
 
 @pytest.mark.parametrize("text, want", [
