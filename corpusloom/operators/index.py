@@ -22,16 +22,17 @@ def _current(spark: SparkSession, root: str) -> str | None:
 
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Replace the pointer by renaming a finished file over it."""
-    P = spark._jvm.org.apache.hadoop.fs.Path
+    """Replace the pointer by renaming a finished file over it, in one step."""
+    jvm = spark._jvm
+    P = jvm.org.apache.hadoop.fs.Path
     new, now = P(f"{root}/CURRENT.{version}"), P(f"{root}/CURRENT")
     fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(now, False)
-    if not fs.rename(new, now):
-        raise OSError(f"{now} could not be replaced")
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), spark._jsc.hadoopConfiguration()).rename(new, now, over)
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
