@@ -187,10 +187,10 @@ def confusion(rows: DataFrame, expected: str, got: str, values: list[str]) -> Da
 
 
 def quotes_on_pages(golden: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, file, page, status, found_page) of each piece of evidence whose file has pages: ok, missing page, or not on
-    page, with the first page of the file that does hold the quote."""
+    """(id, file, page, status, found_page) of each piece of evidence: ok, missing file (no pages of it are known),
+    missing page, or not on page, with the first page of the file that does hold the quote."""
     ev = all_evidence(golden).where(F.col("quote").isNotNull())
     p = pages.dropDuplicates(["file", "page"]).select("file", F.col("page").alias("ppage"), T.compact("text").alias("ptext"))
-    j = ev.join(p, "file").withColumn("holds", F.contains("ptext", T.compact("quote")))
-    a = j.groupBy("id", "file", "page", "quote").agg(F.bool_or(F.col("ppage") == F.col("page")).alias("there"), F.bool_or((F.col("ppage") == F.col("page")) & F.col("holds")).alias("ok"), F.min(F.when(F.col("holds"), F.col("ppage"))).alias("found_page"))
-    return a.select("id", "file", "page", F.when(F.col("ok"), "ok").when(~F.col("there"), "missing page").otherwise("not on page").alias("status"), "found_page")
+    j = ev.join(p, "file", "left").withColumn("holds", F.contains("ptext", T.compact("quote")))
+    a = j.groupBy("id", "file", "page", "quote").agg(F.count("ppage").alias("pages"), F.bool_or(F.col("ppage") == F.col("page")).alias("there"), F.bool_or((F.col("ppage") == F.col("page")) & F.col("holds")).alias("ok"), F.min(F.when(F.col("holds"), F.col("ppage"))).alias("found_page"))
+    return a.select("id", "file", "page", F.when(F.col("ok"), "ok").when(F.col("pages") == 0, "missing file").when(~F.coalesce("there", F.lit(False)), "missing page").otherwise("not on page").alias("status"), "found_page")

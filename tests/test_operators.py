@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import top_by_blocks
-from corpusloom.operators import answer, chunking, index, metadata, search, serving
+from corpusloom.operators import answer, chunking, evaluate, index, metadata, search, serving
 from corpusloom.sources import pages
 from corpusloom.streaming import jobs
 
@@ -255,3 +255,11 @@ def test_reports(spark, tmp_path):
     assert reports.gate(0.8, 0.85) == 1 and reports.gate(0.9, 0.85) == 0
     with pytest.raises(ValueError):
         reports.rows_of(spark.range(2000))
+
+
+def test_evidence_of_missing_files_is_reported(spark):
+    ev = "struct<file string, page int, quote string>"
+    g = spark.createDataFrame([("g1", ("a", 1, "un délai"), []), ("g2", ("a", 2, "un délai"), []), ("g3", ("z", 1, "un délai"), []), ("g4", ("a", 9, "absent"), [])], f"id string, evidence {ev}, extra_evidence array<{ev}>")
+    p = spark.createDataFrame([("a", 1, "Dans un délai de dix jours"), ("a", 2, "Rien")], "file string, page int, text string")
+    got = {r["id"]: (r["status"], r["found_page"]) for r in evaluate.quotes_on_pages(g, p).collect()}
+    assert got == {"g1": ("ok", 1), "g2": ("not on page", 1), "g3": ("missing file", None), "g4": ("missing page", None)}
