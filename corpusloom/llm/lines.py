@@ -169,9 +169,9 @@ def _counts(rows: DataFrame, group: str) -> DataFrame:
     return rows.select("n", F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.sum("n").alias("lines"))
 
 
-def _bounds(asked: DataFrame, counts: DataFrame, group: str) -> DataFrame:
-    """`asked` (h, need, `group`, key) once for each cell in which neighbours can lie, with `cell`, `rest` and `bound`: the most
-    neighbours that the cell can add. Those in the cell of the last or the middle piece that share the first piece too are
+def _bounds(asked: DataFrame, counts: DataFrame, group: str, rests: bool = False) -> DataFrame:
+    """`asked` (h, need, `group`, key) once for each cell in which neighbours can lie, with `cell`, `rest` (null unless `rests`)
+    and `bound`: the most neighbours that the cell can add. Those in the cell of the last or the middle piece that share the first piece too are
     counted by the first. `counts`: as _counts, a written table."""
     key, n = F.col("key"), F.length("key")
     lengths = F.array_distinct(F.array(*[_length_of_piece(n + d) for d in range(-MAX_WRONG, MAX_WRONG + 1)]))
@@ -179,7 +179,7 @@ def _bounds(asked: DataFrame, counts: DataFrame, group: str) -> DataFrame:
     a, z, m = (_cut(key, k, g)[0] for k in ("a", "z", "m"))
     parts = [("a", *_cut(key, "a", g), None), ("z", *_cut(key, "z", g), _cell(group, "az", g, F.concat(a, z))), ("m", *_cut(key, "m", g), _cell(group, "am", g, F.concat(a, m)))]
     parts += [("m", *_cut(key, "m", g, d), None) for d in (-1, 1)]
-    cells = F.array(*[F.struct(_cell(group, k, g, piece).alias("cell"), rest.alias("rest"), (F.lit(None).cast("bigint") if less is None else less).alias("less")) for k, piece, rest, less in parts])
+    cells = F.array(*[F.struct(_cell(group, k, g, piece).alias("cell"), (rest if rests else F.lit(None).cast("string")).alias("rest"), (F.lit(None).cast("bigint") if less is None else less).alias("less")) for k, piece, rest, less in parts])
     probes = asked.select("*", F.explode(lengths).alias("_g")).select("h", "need", F.inline(cells))
     counts = small_side(counts)
     less = counts.select(F.col("cell").alias("less"), F.col("lines").alias("counted"))
@@ -199,7 +199,7 @@ def rare_classes(spellings: DataFrame, covered: DataFrame, needs: DataFrame) ->
     asked = spellings.join(small_side(covered), ["source", "h"], "left_anti").join(small_side(needs), "source").select("h", "need", "source", "key")
     counts = materialize(_counts(spellings, "source").where("lines > 1"), "line-counts")
     one = able(_bounds(asked, counts, "source"))
-    again = _bounds(asked.join(small_side(one), "h", "left_semi"), counts, "source").select("h", "need", F.col("cell").alias("one"), F.col("rest").alias("key"), F.col("bound").alias("most"))
+    again = _bounds(asked.join(small_side(one), "h", "left_semi"), counts, "source", True).select("h", "need", F.col("cell").alias("one"), F.col("rest").alias("key"), F.col("bound").alias("most"))
     again = materialize(again, "line-again")
     held = _cells(spellings).select(F.col("cell").alias("one"), F.col("rest").alias("key"), "n").join(small_side(materialize(again.select("one").distinct(), "line-cells")), "one", "left_semi")
     two = able(_bounds(again, materialize(_counts(held, "one"), "line-counts"), "one"))

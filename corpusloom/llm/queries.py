@@ -10,14 +10,14 @@ from . import areas, bpe, budget, canon, language, lines, pack, scan, split, tru
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = lines.recurring_lines(table(spark, d, "chunks"))
+    found = lines.recurring_lines(table(spark, d, "chunks"), rare=True)
     return found.select(F.col("rec").alias("chunk_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, text): each chunk without the lines of the site."""
     chunks = table(spark, d, "chunks")
-    return lines.without_lines(chunks.select("id", "text"), lines.recurring_lines(chunks)).select(F.col("id").alias("chunk_id"), "text").distinct()
+    return lines.without_lines(chunks.select("id", "text"), lines.recurring_lines(chunks, rare=True)).select(F.col("id").alias("chunk_id"), "text").distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
