@@ -1,49 +1,76 @@
-"""The index as versioned parquet folders with a pointer to the current one, and its incremental maintenance."""
+"""The index: tables in buckets of files, written by generations, and a catalog that names the generation of each bucket.
+
+Folders are `root/<generation>/<table>/bucket=<b>`; the file `root/CURRENT` is the catalog. Ingestion writes a new generation of
+the buckets whose files changed and replaces the catalog in one step: other buckets are neither read nor written, and a failure
+leaves the earlier state in place. Tables: `chunks`; `postings` (chunk_id, n, term, tf), by term within each file;
+`terms` (term, df) and `lengths` (chunks, total), which add up over the buckets; `files` (file, sha, n).
+
+Defined cases: an id belongs to one file, of repeated ids any row stays; a null text has no postings; a null file lies in bucket
+0 and is taken by `build` only; an empty table gives an empty index; a generation may have other columns than an earlier one."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..session import materialize, small_side
 from . import search
 
-TABLES = ("chunks", "postings", "corpus_stats")
+TABLES = ("chunks", "postings", "terms", "lengths", "files")
+#: Buckets of a new index. At 100 TB take some thousands, so that a bucket is some ten GB.
+BUCKETS = 32
+
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _current(spark: SparkSession, root: str) -> str | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    return spark.read.text(f"{root}/CURRENT").first()[0]
 
+def catalog(spark: SparkSession, root: str) -> dict | None:
+    """buckets, avg_len, and for each generation in use its buckets and the schemas of its tables; None without an index."""
+    path, fs = _fs(spark, f"{root}/CURRENT")
+    return json.loads("".join(r[0] for r in spark.read.text(f"{root}/CURRENT").collect())) if fs.exists(path) else None
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Replace the pointer by renaming a finished file over it, in one step."""
+
+def _point(spark: SparkSession, root: str, now: dict) -> None:
+    """Replace the catalog by renaming a finished file over it, in one step."""
     jvm = spark._jvm
-    P = jvm.org.apache.hadoop.fs.Path
-    new, now = P(f"{root}/CURRENT.{version}"), P(f"{root}/CURRENT")
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    new, fs = _fs(spark, f"{root}/CURRENT.{uuid.uuid4().hex}")
+    old, _ = _fs(spark, f"{root}/CURRENT")
     out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(json.dumps(now).encode()))
     out.close()
     over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
     over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), spark._jsc.hadoopConfiguration()).rename(new, now, over)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration()).rename(new, old, over)
+
+
+def bucket_of(file: Column | str, buckets: int) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(file), F.lit(buckets)), F.lit(0)).cast("int")
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = _current(spark, root)
-    if version is None:
+def read(spark: SparkSession, root: str, name: str, only: list[int] | None = None) -> DataFrame:
+    """A table of the index, of some buckets only on request. `postings` come with their weight."""
+    now = catalog(spark, root)
+    if now is None:
         raise FileNotFoundError(f"no index in {root}")
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    whole = None
+    for gen, g in now["generations"].items():
+        wanted = [b for b in g["buckets"] if only is None or b in only]
+        part = spark.read.schema(StructType.fromJson(g["schemas"][name])).parquet(f"{root}/{gen}/{name}").where(F.col("bucket").isin(wanted) if wanted else F.lit(False)).drop("bucket")
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    if name == "postings":
+        whole = whole.withColumn("weight", search.weight(F.lit(now["avg_len"])))
+    return whole
 
 
 def exists(spark: SparkSession, root: str) -> bool:
-    return _current(spark, root) is not None
+    return catalog(spark, root) is not None
 
 
 def count(spark: SparkSession, root: str) -> int:
@@ -51,22 +78,50 @@ def count(spark: SparkSession, root: str) -> int:
     return read(spark, root, "chunks").count() if exists(spark, root) else 0
 
 
-def build(chunks: DataFrame, root: str, avg_len: float | None = None) -> str:
-    """Write a whole new version, then move the pointer: a failure while computing leaves the old version in place. With
-    `avg_len` the earlier average length is kept, as incremental updates do."""
+def _write(chunks: DataFrame, root: str, buckets: int) -> tuple[str, dict]:
+    """Write a generation of these chunks: its name and the schemas of its tables."""
     spark = chunks.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    base = f"{root}/{version}"
-    chunks.dropDuplicates(["id"]).write.parquet(f"{base}/chunks")
-    c = spark.read.parquet(f"{base}/chunks")
-    tokens = search.token_rows(c)
-    stats = search.corpus_stats(tokens)
-    if avg_len is not None:
-        stats = stats.withColumn("avg_len", F.lit(float(avg_len)))
-    stats.coalesce(1).write.parquet(f"{base}/corpus_stats")
-    search.postings(tokens, spark.read.parquet(f"{base}/corpus_stats")).drop("chunks").write.parquet(f"{base}/postings")
-    _point(spark, root, version)
-    return version
+    gen, schemas = f"g-{uuid.uuid4().hex}", {}
+
+    def write(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
+        df = df.hint("rebalance", "bucket")  # small buckets share a task, one with a file that holds a third of the rows is split
+        df = df.sortWithinPartitions("bucket", order) if order else df
+        df.write.partitionBy("bucket").parquet(f"{root}/{gen}/{name}")
+        schema = StructType([f for f in df.schema if f.name != "bucket"] + [df.schema["bucket"]])
+        schemas[name] = json.loads(schema.json())
+        return spark.read.schema(schema).parquet(f"{root}/{gen}/{name}")
+
+    c = chunks.dropDuplicates(["id"]).drop("bucket").withColumn("bucket", bucket_of("file", buckets))
+    c = write(c, "chunks")
+    tokens = materialize(search.token_rows(c).join(c.select(F.col("id").alias("chunk_id"), "bucket"), "chunk_id"), "index-tokens")
+    counts = tokens.select("bucket", "chunk_id", "n", F.explode("tokens").alias("term")).groupBy("bucket", "chunk_id", "n", "term").agg(F.count("*").alias("tf"))
+    p = write(counts, "postings", "term")
+    write(p.groupBy("bucket", "term").agg(F.count("*").alias("df")), "terms", "term")
+    write(tokens.groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum("n").alias("total")), "lengths")
+    write(file_states(c).withColumn("bucket", bucket_of("file", buckets)), "files")
+    return gen, schemas
+
+
+def build(chunks: DataFrame, root: str, avg_len: float | None = None, buckets: int = BUCKETS) -> str:
+    """Write a whole new generation, then the catalog. With `avg_len` that average length is used for the weights."""
+    spark = chunks.sparkSession
+    gen, schemas = _write(chunks, root, buckets)
+    if avg_len is None:
+        lengths = spark.read.schema(StructType.fromJson(schemas["lengths"])).parquet(f"{root}/{gen}/lengths")
+        avg_len = lengths.agg(F.sum("total") / F.sum("chunks")).first()[0] or 1.0
+    _point(spark, root, {"buckets": buckets, "avg_len": max(1.0, float(avg_len)), "generations": {gen: {"buckets": list(range(buckets)), "schemas": schemas}}})
+    return gen
+
+
+def remove_unused(spark: SparkSession, root: str) -> list[str]:
+    """Delete the generations that the catalog doesn't name, once no reader uses them and nothing is being written."""
+    now = catalog(spark, root)
+    path, fs = _fs(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if now else []
+    gone = [n for n in names if n.startswith("g-") and n not in now["generations"]]
+    for n in gone:
+        fs.delete(_fs(spark, f"{root}/{n}")[0], True)
+    return gone
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -99,25 +154,42 @@ def ingest_status(stored: DataFrame, incoming: DataFrame, remove_missing: bool =
 
 
 def ingest(root: str, chunks: DataFrame) -> DataFrame:
-    """Bring the index up to date with the chunks of some files: changed files are replaced, equal ones left alone.
-    Gives (file, status)."""
+    """Bring the index up to date with the chunks of some files: changed files are replaced, equal ones left alone; only the
+    buckets of changed files are read and written, and the average length stays. Gives (file, status)."""
     spark = chunks.sparkSession
-    if not exists(spark, root):
+    now = catalog(spark, root)
+    if now is None:
         build(chunks, root)
-        return file_states(read(spark, root, "chunks")).select("file", F.lit("added").alias("status"))
-    base = read(spark, root, "chunks")
-    what = ingest_status(file_states(base), file_states(chunks)).where(F.col("status").isin("added", "updated", "unchanged"))
-    from ..session import materialize
-
-    what = materialize(what, "ingest")
+        return read(spark, root, "files").select("file", F.lit("added").alias("status"))
+    incoming = chunks.where(F.col("file").isNotNull())
+    what = ingest_status(read(spark, root, "files").where(F.col("file").isNotNull()), file_states(incoming))
+    what = materialize(what.where(F.col("status").isin("added", "updated", "unchanged")), "ingest")
     changed = what.where(F.col("status") != "unchanged")
-    if changed.isEmpty():
+    buckets = now["buckets"]
+    touched = sorted(r[0] for r in changed.select(bucket_of("file", buckets)).distinct().collect())
+    if not touched:
         return what
-    merged = without_files(base, changed).unionByName(chunks.join(changed.select("file"), "file", "left_semi").dropDuplicates(["id"]))
-    build(merged, root, read(spark, root, "corpus_stats").first()["avg_len"])
+    fresh = incoming.join(changed.select("file"), "file", "left_semi").dropDuplicates(["id"])
+    merged = without_files(read(spark, root, "chunks", touched), changed).unionByName(fresh, allowMissingColumns=True)
+    gen, schemas = _write(merged, root, buckets)
+    generations = {g: {**x, "buckets": [b for b in x["buckets"] if b not in touched]} for g, x in now["generations"].items()}
+    generations[gen] = {"buckets": touched, "schemas": schemas}
+    _point(spark, root, {**now, "generations": {g: x for g, x in generations.items() if x["buckets"]}})
     return what
 
 
+def keyword_search(spark: SparkSession, root: str, questions: DataFrame, k: int = search.TOP_K, where: search.SearchFilter | None = None) -> DataFrame:
+    """`search.bm25` over the stored postings: (query_id, chunk_id, score, rank). No text is read."""
+    asked = small_side(search.query_terms(questions))
+    terms = small_side(materialize(asked.select("term").distinct(), "query-words"))
+    chunks = read(spark, root, "lengths").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+    p = read(spark, root, "postings").join(terms, "term", "left_semi").crossJoin(F.broadcast(chunks))
+    df = read(spark, root, "terms").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    if where:
+        p = p.join(read(spark, root, "chunks").where(where.condition()).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return search.best(p, df, asked, k)
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """One row: documents, issuers, first and last year."""
     return chunks.agg(F.countDistinct("file").alias("documents"), F.array_join(F.sort_array(F.collect_set("issuer")), ",").alias("issuers"), F.min(F.year("published")).alias("first_year"), F.max(F.year("published")).alias("last_year"))

@@ -135,6 +135,43 @@ def test_index_lifecycle(spark, tmp_path):
     assert "weight" in index.read(spark, root, "postings").columns
 
 
+def test_index_touches_only_the_buckets_of_changed_files(spark, tmp_path):
+    root = str(tmp_path / "index")
+    cols = "id string, file string, text string, content_sha256 string, issuer string"
+    words = ["taux", "fonds", "client", "capital", "risque", "avis"]
+    rows = [(f"c{i}", f"f{i % 20}", " ".join(words[(i * j) % 6] for j in range(1, 3 + i % 5)), f"s{i}", "BAM" if i % 3 else None) for i in range(80)]
+    rows += [("n", None, "avis sans fichier", None, None), ("t", "f1", None, "s", None), rows[0]]
+    chunks = spark.createDataFrame(rows, cols)
+    index.build(chunks, root, buckets=8)
+    questions = spark.createDataFrame([(0, "taux des fonds"), (1, "avis client client"), (2, ""), (3, None)], "query_id long, question string")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(index.keyword_search(spark, root, questions), search.bm25(chunks, questions))
+    only = search.SearchFilter(issuers=("BAM",))
+    assert same(index.keyword_search(spark, root, questions, 3, only), search.bm25(chunks, questions, 3, only))
+
+    before = index.catalog(spark, root)
+    (old,) = before["generations"]
+    new = spark.createDataFrame([("c5", "f5", "taux neuf", "x")], "id string, file string, text string, content_sha256 string")
+    assert {(r["file"], r["status"]) for r in index.ingest(root, new).collect()} == {("f5", "updated")}
+    after = index.catalog(spark, root)["generations"]
+    touched = [g for g in after if g != old]
+    assert len(after[old]["buckets"]) == 7 and len(touched) == 1 and len(after[touched[0]]["buckets"]) == 1
+    whole = spark.createDataFrame([r for r in rows if r[1] != "f5"] + [("c5", "f5", "taux neuf", "x", None)], cols)
+    assert same(index.read(spark, root, "chunks").select("id", "file", "text").distinct(), whole.select("id", "file", "text").distinct())
+    ids = lambda d: sorted((r["query_id"], r["chunk_id"]) for r in d.collect())
+    fresh = str(tmp_path / "fresh")
+    index.build(whole, fresh, before["avg_len"], buckets=8)
+    assert same(index.keyword_search(spark, root, questions, 100), index.keyword_search(spark, fresh, questions, 100)) and ids(index.keyword_search(spark, root, questions, 100))
+    assert index.remove_unused(spark, root) == []
+    index.build(whole, root)
+    assert sorted(index.remove_unused(spark, root)) == sorted(after)
+    empty = str(tmp_path / "empty")
+    index.build(chunks.limit(0), empty)
+    assert index.count(spark, empty) == 0 and index.keyword_search(spark, empty, questions).count() == 0
+    index.ingest(empty, new)
+    assert index.count(spark, empty) == 1
+
+
 def test_ingest_status(spark):
     s = spark.createDataFrame([("a", "1", 2), ("b", "2", 1), ("d", "4", 1), ("e", None, 1)], "file string, sha string, n int")
     i = spark.createDataFrame([("a", "1", 2), ("b", "9", 1), ("c", "3", 1), ("e", None, 0)], "file string, sha string, n int")
