@@ -149,12 +149,37 @@ def generate(prompted: DataFrame, model: Callable[[list[str]], list[str]]) -> Da
     return prompted.mapInPandas(run, f"{kinds}, text string, error string")
 
 
-def judge_verdict(raw: Column | str, total_claims: Column | None = None) -> Column:
-    """A judge's JSON as a struct: clamped, lists of at most five; null where it can't be read."""
-    r = F.col(raw) if isinstance(raw, str) else raw
-    v = F.from_json(F.nullif(F.regexp_extract(r, r"(?s)\{.*\}", 0), F.lit("")), "claims int, supported int, relevance int, correctness double, unsupported array<string>, missing_facts array<string>")
-    claims = F.greatest(F.coalesce(v["claims"], F.lit(0)), F.lit(0))
-    faith = F.when(claims == 0, 1.0).otherwise(F.least(F.greatest(v["supported"] / claims, F.lit(0.0)), F.lit(1.0)))
+def judge_prompts(answers: DataFrame, golden: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(answer_id, sources, facts, prompt): what a judge is given of each answered answerable item: question, answer, sources in
+    rank order, the facts to be conveyed, the quotes of its evidence and the notes. `facts` is what judge_verdict needs. Null
+    answers are left out; items without hits have no sources."""
+    none = F.array().cast("array<string>")
+    g = golden.dropDuplicates(["id"]).where("answerable")
+    quotes = F.array_compact(F.concat(F.array("evidence.quote"), F.coalesce(F.transform("extra_evidence", lambda e: e["quote"]), none)))
+    g = g.select("id", "question", "notes", F.concat(F.coalesce("expected_facts", none), F.coalesce("derived_facts", none)).alias("facts"), quotes.alias("quotes"))
+    c = chunks.join(hits.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", "reference", "section").alias("at"), "text")
+    packed = hits.select(F.col("query_id").alias("id"), "chunk_id", "rank").join(c, "chunk_id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "at", "text"))).alias("s"))
+    a = answers.dropDuplicates(["answer_id"]).where(F.col("answer").isNotNull() & (F.col("abstention") == "none")).select("answer_id", "id", "answer")
+    j = a.join(g, "id").join(packed, "id", "left")
+    s = F.coalesce("s", F.array().cast(packed.schema["s"].dataType))
+    shown = F.array_join(F.transform(s, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["at"], F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")
+    part = lambda title, body: F.concat(F.lit(title + "\n"), body)
+    prompt = F.concat_ws("\n\n", F.lit(C.JUDGE_TASK), part("Question", F.coalesce("question", F.lit(""))), part("Answer", F.col("answer")), part("Sources", shown),
+                         part("Expected facts", F.array_join("facts", "\n")), part("Evidence", F.array_join("quotes", "\n")), part("Notes", F.col("notes")))
+    return j.select("answer_id", F.size(s).alias("sources"), F.size("facts").alias("facts"), prompt.alias("prompt"))
+
+
+def judge_verdict(raw: Column | str, facts: Column | str) -> Column:
+    """A judge's JSON as a struct: faithfulness = supported of all claims (1 without claims), correctness = conveyed of all
+    `facts` (1 without facts), relevance 1 to 5, lists of at most five. Counts are clamped, missing ones are 0; null where there
+    is no JSON object that can be read."""
+    r, total = F.col(raw) if isinstance(raw, str) else raw, F.col(facts) if isinstance(facts, str) else facts
+    keys = "claims string, supported_claims string, facts_conveyed string, relevance string, unsupported array<string>, missing_facts array<string>, unreadable string"
+    v = F.from_json(F.nullif(F.regexp_extract(r, r"(?s)\{.*\}", 0), F.lit("")), keys, {"columnNameOfCorruptRecord": "unreadable"})
+    number = lambda k, least: F.greatest(F.coalesce(v[k].try_cast("double").try_cast("int"), F.lit(least)), F.lit(least))
+    claims = number("claims", 0)
+    share = lambda n, of: F.when(of > 0, F.least(n, of) / of).otherwise(F.lit(1.0))
     five = lambda a: F.slice(F.coalesce(a, F.array().cast("array<string>")), 1, 5)
-    ok = v.isNotNull() & (v["relevance"].isNotNull() | v["claims"].isNotNull())
-    return F.when(ok, F.struct(faith.alias("faithfulness"), F.least(F.greatest(v["relevance"], F.lit(1)), F.lit(5)).alias("relevance"), F.least(F.greatest(v["correctness"], F.lit(0.0)), F.lit(1.0)).alias("correctness"), five(v["unsupported"]).alias("unsupported"), five(v["missing_facts"]).alias("missing_facts")))
+    out = F.struct(share(number("supported_claims", 0), claims).alias("faithfulness"), F.least(number("relevance", 1), F.lit(5)).alias("relevance"), share(number("facts_conveyed", 0), total).alias("correctness"),
+                   five(v["unsupported"]).alias("unsupported"), five(v["missing_facts"]).alias("missing_facts"))
+    return F.when(v.isNotNull() & v["unreadable"].isNull(), out)

@@ -97,6 +97,17 @@ def retrieval_summary(ranks: DataFrame, k: int = 6) -> DataFrame:
     return out.select(slice_.alias("slice"), F.coalesce("difficulty", "language", "theme").alias("value"), "n", "hit_1", "hit_3", "hit_k", "mrr_k", "doc_hit_k", "section_hit_k")
 
 
+def guard_accuracy(cases: DataFrame) -> DataFrame:
+    """(expected, n, right, accuracy) of cases (expected, verdict); a null verdict is wrong, a null class is a class."""
+    right = F.coalesce(F.count_if(F.col("verdict") == F.col("expected")), F.lit(0))
+    return cases.groupBy("expected").agg(F.count("*").alias("n"), right.alias("right")).withColumn("accuracy", F.round(F.col("right") / F.col("n"), 6))
+
+
+def guard_mismatches(cases: DataFrame) -> DataFrame:
+    """The cases whose verdict isn't the expected one."""
+    return cases.where(~F.col("verdict").eqNullSafe(F.col("expected")))
+
+
 def fact_scores(answers: DataFrame, golden: DataFrame) -> DataFrame:
     """(answer_id, facts_found, facts_total, numbers_found, numbers_total) of each answer against its item's facts."""
     g = golden.dropDuplicates(["id"]).select("id", F.explode("expected_facts").alias("fact")).withColumn("ff", T.fact_form("fact"))

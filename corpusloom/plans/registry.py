@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.vectors import hash_buckets, top_by_blocks
 from ..operators import answer, chunking, evaluate, index, metadata, search, serving
-from ..session import materialize, table
+from ..session import materialize, shared_dir, table
 from ..sources import pages
 
 QUERIES: dict = {}
@@ -147,6 +149,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(spark, d, "chunks"), asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {bm25_sql(6)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw")
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search over the postings of an index that was built from some issuers' chunks and then brought up to date with all."""
+    chunks = table(spark, d, "chunks")
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build(chunks.where("issuer = 'BAM'"), root, avg_len=search.corpus_stats(search.token_rows(chunks)).first()["avg_len"])
+    index.ingest(root, chunks)
+    return index.keyword_search(spark, root, asked(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {bm25_sql(6)} SELECT chunk_id, CAST(count(*) AS BIGINT) AS terms, CAST(sum(tf) AS BIGINT) AS length, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 6) AS weight
 FROM post, stats GROUP BY chunk_id""")
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -210,13 +222,24 @@ def sanitize_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(translate({x}, '’‘', ''''''), '[^\\PC\\n\\t]', '', 'g'), '{_SP}', ' ', 'g'), ' ')"
 
 
-@query(f"""SELECT id, CASE WHEN q = '' THEN 'empty' WHEN length(q) > 1000 THEN 'too_long' WHEN {' OR '.join("regexp_matches(q, '(?i)" + p.replace("'", "''") + "')" for p in C.META_PATTERNS)} THEN 'meta'
+_GUARD = f"""SELECT id, CASE WHEN q = '' THEN 'empty' WHEN length(q) > 1000 THEN 'too_long' WHEN {' OR '.join("regexp_matches(q, '(?i)" + p.replace("'", "''") + "')" for p in C.META_PATTERNS)} THEN 'meta'
   WHEN regexp_full_match(q, '(?i)(?:{C.GREETING_WORDS})[\\s!.,؟?]*(?:(?:à vous|à toi|everyone|all))?[\\s!.,؟?]*') THEN 'greeting' ELSE 'ok' END AS verdict
-FROM (SELECT DISTINCT id, {sanitize_sql('question')} AS q FROM golden)""")
+FROM (SELECT DISTINCT id, {sanitize_sql('question')} AS q FROM golden)"""
+
+
+@query(_GUARD)
 def guardrail_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "golden").select("id", "question").distinct().select("id", T.guard_verdict("question").alias("verdict"))
 
 
+@query(f"""WITH v AS ({_GUARD}), c AS (SELECT CASE WHEN answerable THEN 'ok' ELSE 'off_topic' END AS expected, verdict FROM v JOIN (SELECT DISTINCT id, answerable FROM golden) USING (id))
+SELECT expected, CAST(count(*) AS BIGINT) AS n, CAST(count_if(verdict = expected) AS BIGINT) AS "right", round(count_if(verdict = expected) / count(*), 6) AS accuracy FROM c GROUP BY expected""")
+def guard_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of the guard alone on all questions: an answerable one ought to pass, another to be off topic."""
+    g = table(spark, d, "golden").select("id", "question", "answerable").distinct()
+    return evaluate.guard_accuracy(g.select(F.when(F.col("answerable"), "ok").otherwise("off_topic").alias("expected"), T.guard_verdict("question").alias("verdict")))
+
+
 @query()
 def scope_scores(spark: SparkSession, d: str) -> DataFrame:
     return answer.scope_scores(table(spark, d, "golden").select(F.col("id").alias("query_id"), "question"))
@@ -260,16 +283,24 @@ def title_references(spark: SparkSession, d: str) -> DataFrame:
     return metadata.latest(table(spark, d, "doc_meta")).select("file", T.title_reference("title", "issuer").alias("reference"))
 
 
-@query()
+_DAY = r"(?:^|[^\p{L}\p{N}_])(1[eE][rR]|[0-9]{1,2})\s+([a-zA-Zéèêûô]+)\s+([0-9]{4})(?:[^\p{L}\p{N}_]|$)"
+
+
+@query(f"""WITH m AS (SELECT id, list_zip(regexp_extract_all(text, '{_DAY}', 1), regexp_extract_all(text, '{_DAY}', 2), regexp_extract_all(text, '{_DAY}', 3)) AS l FROM (SELECT DISTINCT id, text FROM chunks)),
+  c AS (SELECT id, list_filter(list_transform(l, lambda r: TRY_CAST(r[3] || '-' || lpad(CAST(list_position([{_strings(C.MONTHS)}], {fold_sql('r[2]')}) AS VARCHAR), 2, '0') || '-' || lpad(replace(lower(r[1]), 'er', ''), 2, '0') AS DATE)), lambda v: v IS NOT NULL) AS v FROM m)
+SELECT id, v[1] AS first_date FROM c WHERE len(v) > 0""")
 def french_dates(spark: SparkSession, d: str) -> DataFrame:
     return search.unique_chunks(table(spark, d, "chunks").select("id", "text")).select("id", T.french_date("text").alias("first_date")).where(F.col("first_date").isNotNull())
 
 
-@query(f"""WITH ids AS (SELECT DISTINCT section AS s FROM chunks WHERE section IS NOT NULL)
-SELECT s AS section, array_to_string(list_sort(list_distinct(list_concat(
-  list_transform(regexp_extract_all(s, '(?i)(premier|1er|[0-9]+(?:\\.[0-9]+)*)', 1), lambda m: CASE WHEN lower(m) IN ('premier', '1er') THEN '1' ELSE m END),
-  flatten(list_transform(list_zip(regexp_extract_all(s, '([0-9]+)\\s*-\\s*([0-9]+)', 1), regexp_extract_all(s, '([0-9]+)\\s*-\\s*([0-9]+)', 2)),
-    lambda r: CASE WHEN r[2]::int >= r[1]::int AND r[2]::int - r[1]::int <= 20 THEN list_transform(range(r[1]::int, r[2]::int + 1), lambda n: n::varchar) ELSE [] END))))), ' ') AS ids FROM ids""")
+def article_ids_sql(s: str) -> str:
+    return f"""list_distinct(list_concat(
+  list_transform(regexp_extract_all({s}, '(?i)(premier|1er|[0-9]+(?:\\.[0-9]+)*)', 1), lambda m: CASE WHEN lower(m) IN ('premier', '1er') THEN '1' ELSE m END),
+  flatten(list_transform(list_zip(regexp_extract_all({s}, '([0-9]+)\\s*-\\s*([0-9]+)', 1), regexp_extract_all({s}, '([0-9]+)\\s*-\\s*([0-9]+)', 2)),
+    lambda r: CASE WHEN r[2]::int >= r[1]::int AND r[2]::int - r[1]::int <= 20 THEN list_transform(range(r[1]::int, r[2]::int + 1), lambda n: n::varchar) ELSE [] END))))"""
+
+
+@query(f"SELECT s AS section, array_to_string(list_sort({article_ids_sql('s')}), ' ') AS ids FROM (SELECT DISTINCT section AS s FROM chunks WHERE section IS NOT NULL)")
 def section_article_ids(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "chunks").where(F.col("section").isNotNull()).select("section").distinct()
     return s.select("section", F.array_join(F.array_sort(T.article_ids("section")), " ").alias("ids"))
@@ -282,7 +313,12 @@ def document_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "doc_meta").select("file", "issuer", "url", "title").distinct().select("file", T.document_stem("issuer", "title", "url").alias("stem")).distinct()
 
 
-@query()
+_LINK = "replace(url_encode(regexp_extract(url, '^([^#]*)', 1)), '%25', chr(1))"
+for _c in ":/?&=+@;,~!$'()*":
+    _LINK = f"replace({_LINK}, '%{ord(_c):02X}', chr({ord(_c)}))"
+
+
+@query(f"SELECT id, replace({_LINK}, chr(1), '%') || '#page=' || CAST(page_start AS VARCHAR) AS link FROM (SELECT DISTINCT id, url, page_start FROM chunks)")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return search.unique_chunks(table(spark, d, "chunks").select("id", "url", "page_start")).select("id", T.page_link("url", "page_start").alias("link"))
 
@@ -337,7 +373,14 @@ def passage_hits(spark: SparkSession, d: str) -> DataFrame:
     return ev.join(c, "file").groupBy("id", "chunk_id").agg(F.round(F.max(cover), 6).alias("coverage")).where(F.col("coverage") >= 0.5)
 
 
-@query()
+@query(f"""WITH {dense_sql(_CHUNK_ROWS, 6)}, {_EVIDENCE}, g AS (SELECT DISTINCT id, difficulty, language, theme, {article_ids_sql("coalesce(expected_section, '')")} AS wanted FROM golden
+    WHERE answerable AND evidence IS NOT NULL AND status IS DISTINCT FROM 'rejected' AND id IN (SELECT query_id FROM dense)),
+  j AS (SELECT g.id, rank, {_COVER.format(q=words_sql('quote'), t=words_sql('text'))} >= 0.5 AS covers, list_has_any(wanted, {article_ids_sql("coalesce(section, '')")}) AS fits
+        FROM dense JOIN g ON g.id = query_id JOIN (SELECT DISTINCT id AS chunk_id, file, text, section FROM chunks) c USING (chunk_id) JOIN ev ON ev.id = g.id AND ev.file = c.file),
+  r AS (SELECT g.id, difficulty, language, theme, min(CASE WHEN covers THEN rank END) AS p, min(rank) AS d, min(CASE WHEN fits THEN rank END) AS s FROM g LEFT JOIN j ON j.id = g.id GROUP BY ALL),
+  per AS (SELECT 'all' AS slice, NULL AS value, p, d, s FROM r UNION ALL SELECT 'difficulty', difficulty, p, d, s FROM r UNION ALL SELECT 'language', language, p, d, s FROM r UNION ALL SELECT 'theme', theme, p, d, s FROM r)
+SELECT slice, value, CAST(count(*) AS BIGINT) AS n, round(count(*) FILTER (WHERE p = 1) / count(*), 6) AS hit_1, round(count(*) FILTER (WHERE p <= 3) / count(*), 6) AS hit_3, round(count(p) / count(*), 6) AS hit_k,
+  round(sum(coalesce(1 / p, 0)) / count(*), 6) AS mrr_k, round(count(d) / count(*), 6) AS doc_hit_k, round(count(s) / count(*), 6) AS section_hit_k FROM per GROUP BY slice, value""")
 def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     c, g = table(spark, d, "chunks"), table(spark, d, "golden")
     hits = materialize(search.dense(c, asked(spark, d)), "hits")
@@ -366,7 +409,14 @@ def golden_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "golden").groupBy("language", "status").agg(F.countDistinct("id").alias("items"))
 
 
-@query()
+def compact_sql(x: str) -> str:
+    return f"lower(regexp_replace({norm_sql(x)}, '{_SP}', '', 'g'))"
+
+
+@query(f"""WITH {_EVIDENCE}, p AS (SELECT DISTINCT file, page, {compact_sql('text')} AS t FROM native_pages),
+  j AS (SELECT ev.*, p.page AS pp, contains(p.t, {compact_sql('quote')}) AS h FROM ev LEFT JOIN p ON p.file = ev.file WHERE quote IS NOT NULL)
+SELECT id, file, page, CASE WHEN bool_or(pp = page AND h) THEN 'ok' WHEN count(pp) = 0 THEN 'missing file' WHEN NOT coalesce(bool_or(pp = page), false) THEN 'missing page' ELSE 'not on page' END AS status,
+  min(CASE WHEN h THEN pp END) AS found_page FROM j GROUP BY id, file, page, quote""")
 def quotes_on_pages(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.quotes_on_pages(table(spark, d, "golden"), table(spark, d, "native_pages"))
 
@@ -422,14 +472,29 @@ def answer_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.answer_summary(table(spark, d, "answers"), "difficulty")
 
 
-@query()
+@query("""SELECT answer_id, round(greatest(least(round_even(coalesce(faithfulness, 0) * 4, 0), 4), 0) / 4, 6) AS faithfulness, CAST(least(greatest(coalesce(relevance, 1), 1), 5) AS INTEGER) AS relevance,
+  round(CASE WHEN n > 0 THEN least(found + 1, n) / n ELSE 1.0 END, 6) AS correctness, CAST(least(len(coalesce(unsupported, [])), 5) AS INTEGER) AS unsupported
+FROM (SELECT DISTINCT answer_id, faithfulness, relevance, coalesce(facts_total, 0) AS n, coalesce(facts_found, 0) AS found, unsupported FROM answers)""")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "answers").dropDuplicates(["answer_id"])
-    j = F.concat(F.lit("```json "), F.to_json(F.struct(F.lit(4).alias("claims"), F.bround(F.col("faithfulness") * 4).cast("int").alias("supported"), "relevance", "correctness", "unsupported", "missing_facts")), F.lit(" ```"))
-    v = a.select("answer_id", answer.judge_verdict(j).alias("v"))
+    """Verdicts read back from the JSON that a judge would write with the figures of `answers` (one fact more than found)."""
+    a = table(spark, d, "answers").dropDuplicates(["answer_id"]).withColumn("facts", F.coalesce("facts_total", F.lit(0)))
+    figures = F.struct(F.lit(4).alias("claims"), F.bround(F.col("faithfulness") * 4).cast("int").alias("supported_claims"), "relevance", (F.coalesce("facts_found", F.lit(0)) + 1).alias("facts_conveyed"), "unsupported", "missing_facts")
+    v = a.select("answer_id", answer.judge_verdict(F.concat(F.lit("```json "), F.to_json(figures), F.lit(" ```")), "facts").alias("v"))
     return v.select("answer_id", F.round("v.faithfulness", 6).alias("faithfulness"), "v.relevance", F.round("v.correctness", 6).alias("correctness"), F.size("v.unsupported").alias("unsupported"))
 
 
+@query("""WITH g AS (SELECT DISTINCT id, len(coalesce(expected_facts, [])) + len(coalesce(derived_facts, [])) AS n, evidence.file AS file, evidence.page AS page FROM golden WHERE answerable),
+  h AS (SELECT g.id, count(DISTINCT c.id) AS sources FROM g LEFT JOIN chunks c ON c.file = g.file AND g.page BETWEEN c.page_start AND c.page_end GROUP BY g.id)
+SELECT DISTINCT answer_id, CAST(n AS INTEGER) AS facts, CAST(sources AS INTEGER) AS sources FROM answers JOIN g USING (id) JOIN h USING (id) WHERE answer IS NOT NULL AND abstention = 'none'""")
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a judge is given, with the chunks on the page of the evidence as sources."""
+    c, g = table(spark, d, "chunks"), table(spark, d, "golden")
+    ev = g.select(F.col("id").alias("query_id"), F.col("evidence.file").alias("file"), F.col("evidence.page").alias("page")).distinct()
+    on_page = ev.join(c.select(F.col("id").alias("chunk_id"), "file", "page_start", "page_end"), "file").where(F.col("page").between(F.col("page_start"), F.col("page_end")))
+    hits = on_page.select("query_id", "chunk_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
+    return answer.judge_prompts(table(spark, d, "answers"), g, hits, c).select("answer_id", "facts", "sources")
+
+
 @query()
 def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
     c, q = table(spark, d, "chunks"), asked(spark, d)

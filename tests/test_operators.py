@@ -201,9 +201,25 @@ def test_answer_steps(spark):
     raw = spark.createDataFrame([("q", 2, "Oui [1] , non [7] ."), ("r", 1, "not_found")], "query_id string, sources int, text string")
     out = {r["query_id"]: r for r in answer.finished(raw, F.lit("rien")).collect()}
     assert out["q"]["answer"] == "Oui [1], non." and out["q"]["cited"] == [1] and out["r"]["answer"] == "rien" and out["r"]["abstention"] == "signal"
-    j = spark.createDataFrame([('```json {"claims": 4, "supported": 9, "relevance": 8, "correctness": 2.0, "unsupported": ["a","b","c","d","e","f"]} ```',), ("none",), ('{"claims": 0, "relevance": 3}',)], "raw string")
-    v = [r[0] for r in j.select(answer.judge_verdict("raw")).collect()]
-    assert v[0]["faithfulness"] == 1.0 and v[0]["relevance"] == 5 and len(v[0]["unsupported"]) == 5 and v[1] is None and v[2]["faithfulness"] == 1.0
+
+
+def test_judge_and_guard(spark):
+    raw = ['```json {"claims": 4, "supported_claims": 9, "relevance": 8, "facts_conveyed": 3, "unsupported": ["a","b","c","d","e","f"]} ```', "none", '{"claims": 0, "relevance": 3, "facts_conveyed": -1}', "{broken", '{"claims": "2", "supported_claims": 1.0}', "{}", None]
+    v = [r[0] for r in spark.createDataFrame([(r, 2) for r in raw], "raw string, facts int").select(answer.judge_verdict("raw", "facts")).collect()]
+    assert [x and (x["faithfulness"], x["relevance"], x["correctness"]) for x in v] == [(1.0, 5, 1.0), None, (1.0, 3, 0.0), None, (0.5, 1, 0.0), (1.0, 1, 0.0), None]
+    assert len(v[0]["unsupported"]) == 5
+    nothing = spark.createDataFrame([("{}", 0)], "raw string, facts int").select(answer.judge_verdict("raw", "facts")).first()[0]
+    assert nothing["correctness"] == 1.0
+    ev = "struct<file:string,page:int,quote:string>"
+    g = spark.createDataFrame([("g", "Q?", True, ["f1"], None, ("x", 1, "cite"), None, "n")], f"id string, question string, answerable boolean, expected_facts array<string>, derived_facts array<string>, evidence {ev}, extra_evidence array<{ev}>, notes string")
+    a = spark.createDataFrame([(1, "g", "A", "none"), (2, "g", None, "none"), (3, "g", "B", "signal"), (4, "h", "C", "none")], "answer_id long, id string, answer string, abstention string")
+    hits = spark.createDataFrame([("g", "c2", 2), ("g", "c1", 1)], "query_id string, chunk_id string, rank int")
+    c = spark.createDataFrame([("c1", "R", "S", "un"), ("c2", None, None, None)], "id string, reference string, section string, text string")
+    (p,) = answer.judge_prompts(a, g, hits, c).collect()
+    assert (p["answer_id"], p["sources"], p["facts"]) == (1, 2, 1) and "[1] R S: un\n[2] : " in p["prompt"] and "cite" in p["prompt"] and p["prompt"].endswith("Notes\nn")
+    cases = spark.createDataFrame([("ok", "ok"), ("ok", "meta"), ("meta", None)], "expected string, verdict string")
+    assert {(r["expected"], r["n"], r["right"], r["accuracy"]) for r in evaluate.guard_accuracy(cases).collect()} == {("ok", 2, 1, 0.5), ("meta", 1, 0, 0.0)}
+    assert evaluate.guard_mismatches(cases).count() == 2
 
 
 def test_failing_model_gives_error_rows(spark):
