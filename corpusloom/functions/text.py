@@ -98,6 +98,12 @@ def detect_language(x: Column | str, default: str = "fr") -> Column:
     return F.when((arabic > 0) & (arabic >= latin), "ar").when((fr == 0) & (en == 0), default).when(fr >= en, "fr").otherwise("en")
 
 
+def ocr_language(language: Column | str) -> Column:
+    """The three-letter code by which a scanned document is read; French unless Arabic or English."""
+    x = _col(language)
+    return F.when(x == "ar", "ara").when(x == "en", "eng").otherwise("fra")
+
+
 def is_meta(x: Column | str) -> Column:
     hit = F.lit(False)
     for p in C.META_PATTERNS:

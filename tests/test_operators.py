@@ -203,6 +203,13 @@ def test_answer_steps(spark):
     assert out["q"]["answer"] == "Oui [1], non." and out["q"]["cited"] == [1] and out["r"]["answer"] == "rien" and out["r"]["abstention"] == "signal"
 
 
+def test_filters_are_equal_whatever_their_order():
+    a, b = search.SearchFilter(issuers=("B", "A", "B"), date_from="2020-01-01"), search.SearchFilter(issuers=("A", "B"), date_from="2020-01-01")
+    assert a == b and a.key() == b.key()
+    with pytest.raises(ValueError, match="after"):
+        search.SearchFilter(date_from="2021-01-01", date_to="2020-12-31")
+
+
 def test_judge_and_guard(spark):
     raw = ['```json {"claims": 4, "supported_claims": 9, "relevance": 8, "facts_conveyed": 3, "unsupported": ["a","b","c","d","e","f"]} ```', "none", '{"claims": 0, "relevance": 3, "facts_conveyed": -1}', "{broken", '{"claims": "2", "supported_claims": 1.0}', "{}", None]
     v = [r[0] for r in spark.createDataFrame([(r, 2) for r in raw], "raw string, facts int").select(answer.judge_verdict("raw", "facts")).collect()]

@@ -124,3 +124,8 @@ def test_nearest_ranks(spark):
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("nulls", None)]
     got = {r["g"]: (r["a"], r["b"]) for r in evaluate.nearest_ranks(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"a": 50, "b": 95}).collect()}
     assert got == {g: tuple(sorted(vs)[round(q / 100 * (len(vs) - 1))] for q in (50, 95)) for g, vs in groups.items()}
+
+
+def test_ocr_language(spark):
+    d = spark.createDataFrame([("fr",), ("ar",), ("en",), (None,), ("es",)], "language string")
+    assert [r[0] for r in d.select(T.ocr_language("language")).collect()] == ["fra", "ara", "eng", "fra", "fra"]
