@@ -323,3 +323,34 @@ def test_evidence_of_missing_files_is_reported(spark):
     p = spark.createDataFrame([("a", 1, "Dans un délai de dix jours"), ("a", 2, "Rien")], "file string, page int, text string")
     got = {r["id"]: (r["status"], r["found_page"]) for r in evaluate.quotes_on_pages(g, p).collect()}
     assert got == {"g1": ("ok", 1), "g2": ("not on page", 1), "g3": ("missing file", None), "g4": ("missing page", None)}
+
+
+def test_keyword_search_moves_k_rows_per_query_and_task(spark):
+    """Neither postings nor pairs of query and chunk may move: they grow with queries times chunks."""
+    chunks = spark.range(0, 600, 1, 3).selectExpr("concat('c', id) AS id", "concat('f', id % 40) AS file", "concat('fonds taux ', repeat('client ', cast(id % 7 AS int)), 'mot', id % 50) AS text", "'s' AS content_sha256")
+    chunks = chunks.unionByName(chunks.where("file = 'f1'"))
+    questions = spark.range(60).selectExpr("id AS query_id", "concat('taux des fonds du client mot', id % 50) AS question")
+    rows = {r["id"]: search_words(r["text"]) for r in chunks.collect()}
+    asked = {r["query_id"]: sorted(set(search_words(r["question"]))) for r in questions.collect()}
+    n, avg = len(rows), sum(map(len, rows.values())) / len(rows)
+    df = {t: sum(t in ws for ws in rows.values()) for ts in asked.values() for t in ts}
+    want = set()
+    for q, ts in asked.items():
+        score = {c: sum((tf := ws.count(t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avg)) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in ts if t in ws) for c, ws in rows.items()}
+        best = sorted((-round(s, 9), c) for c, s in score.items() if s)[:4]
+        want |= {(q, c, round(-s, 7), rank + 1) for rank, (s, c) in enumerate(best)}
+    for got in (search.bm25(chunks, questions, 4),):
+        assert {(r["query_id"], r["chunk_id"], round(r["score"], 7), r["rank"]) for r in got.collect()} == want
+        assert "query_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
+
+
+def search_words(text):
+    return [w[:-1] if len(w) > 4 and w[-1] in "sx" else w for w in text.split() if w not in ("des", "du")]
+
+
+def test_blocks_of_queries_find_what_one_block_finds(spark, monkeypatch):
+    c, q = _chunks(spark), _questions(spark)
+    whole = sorted(map(tuple, search.bm25(c, q, 3).collect()))
+    monkeypatch.setattr(search, "BLOCK", 1)
+    monkeypatch.setattr(search, "MOST_TERMS", 1)
+    assert sorted(map(tuple, search.bm25(c, q, 3).collect())) == whole and len(whole) > 1
