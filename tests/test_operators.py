@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import top_by_blocks
 from corpusloom.operators import answer, chunking, evaluate, index, metadata, search, serving
+from corpusloom.session import shared_dir
 from corpusloom.sources import pages
 from corpusloom.streaming import jobs
 
@@ -339,7 +340,9 @@ def test_keyword_search_moves_k_rows_per_query_and_task(spark):
         score = {c: sum((tf := ws.count(t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avg)) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in ts if t in ws) for c, ws in rows.items()}
         best = sorted((-round(s, 9), c) for c, s in score.items() if s)[:4]
         want |= {(q, c, round(-s, 7), rank + 1) for rank, (s, c) in enumerate(best)}
-    for got in (search.bm25(chunks, questions, 4),):
+    root = f"{shared_dir(spark)}/keyword-index"
+    index.build(chunks, root, buckets=4)
+    for got in (search.bm25(chunks, questions, 4), index.keyword_search(spark, root, questions, 4)):
         assert {(r["query_id"], r["chunk_id"], round(r["score"], 7), r["rank"]) for r in got.collect()} == want
         assert "query_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
 
