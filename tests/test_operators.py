@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import top_by_blocks
@@ -357,3 +358,22 @@ def test_blocks_of_queries_find_what_one_block_finds(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 1)
     monkeypatch.setattr(search, "MOST_TERMS", 1)
     assert sorted(map(tuple, search.bm25(c, q, 3).collect())) == whole and len(whole) > 1
+
+
+def test_dense_search_moves_k_rows_per_query_and_task(spark):
+    rows = spark.range(0, 90, 1, 2).selectExpr("concat('c', id % 80) AS id", "concat('taux ', repeat('fonds ', cast(id % 80 % 9 AS int))) AS text")
+    q = spark.createDataFrame([("a", "taux"), ("b", "taux fonds fonds"), ("c", None)], "query_id string, question string")
+    whole = sorted(map(tuple, search.dense(rows, q, 5).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = search.dense(rows, q, 5)
+        assert sorted(map(tuple, got.collect())) == whole and len(whole) == 10
+        plan = got._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().head()
+        ran = search.dense(rows, q, 5).sparkSession
+        moved = DataFrame(ran._jvm.org.apache.spark.sql.classic.Dataset.ofRows(ran._jsparkSession, plan), ran).count()
+        assert moved <= 2 * 2 * 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
