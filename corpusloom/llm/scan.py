@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import materialize
 from .areas import fold
@@ -31,8 +33,8 @@ from .lines import without_lines
 #: The model is fitted on the pages of at most this many files, those of the smallest hashes.
 TRAIN_FILES = 200
 EPOCHS = 4
-#: A word is firm if seen so often in text that wasn't scanned, whatever the size of the corpus. Firm words are sent to the workers, so
-#: at most FIRM_MOST of them can be used: beyond, the count rises until they fit (see README).
+#: A word is firm if seen so often in text that wasn't scanned, whatever the size of the corpus. Up to FIRM_MOST firm words are sent to
+#: the workers; more meet the words that each text asks for in a join (`_asked_for`), with the same results.
 FIRM_SEEN, FIRM_MOST = 3, 3_000_000
 #: The least score over keeping of an edit, by length of the word: below 4 letters, below 6, longer.
 LEAST = ((4, 0.0), (6, -1.0), (1 << 30, -3.0))
@@ -305,20 +307,23 @@ def clean_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def firm_words(counts: DataFrame, most: int = FIRM_MOST) -> DataFrame:
-    """(word, n): words frequent enough to be correct. `counts`: a written table."""
-    least = FIRM_SEEN
-    while counts.where(F.col("n") >= least).count() > most:
-        least *= 2
-    return counts.where(F.col("n") >= least)
+def firm_words(counts: DataFrame) -> DataFrame:
+    """(word, n): words frequent enough to be correct."""
+    return counts.where(F.col("n") >= FIRM_SEEN)
+
+
+def sequences(firm: DataFrame) -> DataFrame:
+    """(three): the sequences of three letters of the firm words, ^ and $ at their ends. They are bounded by the alphabets."""
+    p = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    return firm.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))).alias("three")).distinct()
 
 
 class Reader:
     """Judges the lines of scanned texts."""
 
-    def __init__(self, weights: dict, firm: dict[str, int]):
+    def __init__(self, weights: dict, firm: dict[str, int], threes: set[str] | None = None):
         self.editor, self.firm = CharacterEditor(weights), firm
-        self.threes = {p[i : i + 3] for w in firm for p in (f"^{w}$",) for i in range(len(p) - 2)}
+        self.threes = {p[i : i + 3] for w in firm for p in (f"^{w}$",) for i in range(len(p) - 2)} if threes is None else threes
         self.fixed: dict[str, str | None] = {}
         self.tokens: dict[str, int] = {}
         self.title: tuple[str, str, set, set] = ("", "", set(), set())
@@ -521,8 +526,76 @@ def _send(spark, editor: CharacterEditor, firm: DataFrame):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, editor.weights, words))
 
 
-def noise(scanned: DataFrame, editor: CharacterEditor, firm: DataFrame) -> DataFrame:
-    """(id, line_no, kind). `scanned`: id, text, title, page_start, page_end."""
+class _Facts(dict):
+    """What is known of the vocabulary: counts of firm words, 0 for others. Words asked for beyond that count as not firm and are
+    noted."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__({w: n for w, n in known.items() if n})
+        self.known, self.asked = known, set()
+
+    def __contains__(self, word) -> bool:
+        if word not in self.known:
+            self.asked.add(word)
+        return super().__contains__(word)
+
+    def get(self, word, default=None):
+        return super().get(word, default) if word in self else default
+
+
+class _Asker(Reader):
+    """A reader that knows some facts only; edits are proposed once a word is known not to be firm."""
+
+    def about(self, known: dict[str, int]) -> _Asker:
+        self.firm = _Facts(known)
+        self.fixed.clear()
+        self.tokens.clear()
+        return self
+
+    def fix(self, word: str) -> str | None:
+        return None if word in self.firm or word not in self.firm.known else super().fix(word)
+
+
+def _asked_for(scanned: DataFrame, editor: CharacterEditor, firm: DataFrame, read, kind: str) -> DataFrame:
+    """(id, out): `read` of each text, whatever the number of firm words. In each round a text is read with the facts gathered for it;
+    words that it asked for beyond meet the firm words in a join and come back to it, until it asks for none."""
+    spark = scanned.sparkSession
+    sent = spark.sparkContext.broadcast((editor.weights, {r["three"] for r in sequences(firm).collect()}))
+    columns = ["id", "text", "title", "page_start", "page_end"]
+    known = StructType.fromDDL("known array<struct<word:string,n:bigint>>")["known"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, threes = sent.value
+        r = _Asker(weights, {}, threes)
+        for b in batches:
+            rows = [dict(zip(b.schema.names, x, strict=True)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            for x in rows:
+                facts = {f["word"]: f["n"] for f in x["known"]}
+                x["out"] = read(r.about(facts), *(x[c] for c in columns[1:]))
+                x["asked"] = sorted(r.firm.asked)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    todo = scanned.select(F.uuid().alias("row"), *columns).withColumn("known", F.array().cast(known.dataType))
+    kinds = StructType([*todo.schema, *StructType.fromDDL(f"out {kind}, asked array<string>")])
+    schema = to_arrow_schema(kinds)
+    done = None
+    while True:
+        seen = materialize(todo.mapInArrow(run, kinds), "scan-asked")
+        ready = seen.where(F.size("asked") == 0).select("id", "out")
+        done = ready if done is None else done.unionByName(ready)
+        open_ = seen.where(F.size("asked") > 0)
+        if open_.isEmpty():
+            return done
+        wanted = open_.select("row", F.explode("asked").alias("word"))
+        facts = wanted.join(firm, "word", "left").groupBy("row").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n"))).alias("more"))
+        todo = open_.join(facts, "row").select("row", *columns, F.concat("known", "more").cast(known.dataType).alias("known"))
+
+
+def noise(scanned: DataFrame, editor: CharacterEditor, firm: DataFrame, most: int = FIRM_MOST) -> DataFrame:
+    """(id, line_no, kind). `scanned`: id, text, title, page_start, page_end; more than `most` firm words aren't sent to the workers."""
+    if firm.count() > most:
+        found = _asked_for(scanned, editor, firm, lambda r, text, *x: [{"line_no": no, "kind": kind} for no, kind in r.kinds(text, *x)] if text else [], "array<struct<line_no:int,kind:string>>")
+        return found.select("id", F.inline("out"))
     sent = _send(scanned.sparkSession, editor, firm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,8 +618,11 @@ def _spread_out(scanned: DataFrame) -> DataFrame:
     return cols.repartition(F.xxhash64("id")) if "file" in scanned.columns else cols
 
 
-def repair(scanned: DataFrame, editor: CharacterEditor, firm: DataFrame) -> DataFrame:
-    """(id, repaired): continuous, correct paragraphs."""
+def repair(scanned: DataFrame, editor: CharacterEditor, firm: DataFrame, most: int = FIRM_MOST) -> DataFrame:
+    """(id, repaired): continuous, correct paragraphs. `most`: as in noise."""
+    if firm.count() > most:
+        found = _asked_for(_spread_out(scanned), editor, firm, lambda r, text, *x: None if text is None else r.repaired(text, *x), "string")
+        return found.withColumnRenamed("out", "repaired")
     sent = _send(scanned.sparkSession, editor, firm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,6 +194,19 @@ def test_repair(spark):
     assert scan.noise(df, scan.CharacterEditor(), firm).count() == 0
 
 
+def test_vocabulary_of_any_size_gives_the_same(spark):
+    r = _reader()
+    title = "Circulaire n°73/G/2019 relative au programme Vralemare, le règlement des sinistres"
+    texts = ["3\nles établissements assu-\njettis contrôlent la séparation au-\ndelà des mesurcs correctrices\nle séparati0n des pou voirs", "les porte-\nmonnaie des pou voirs exécutifs pcut ex!gcr", "", None, "peut peut cxiger p|ut"]
+    df = spark.createDataFrame([(f"t{i}", t, title, 3, 3) for i, t in enumerate(texts)], "id string, text string, title string, page_start int, page_end int")
+    rows = [(w, n) for w, n in r.firm.items()] + [(f"mot{i}", 3) for i in range(50)] + [("mesurcs", 2)]
+    firm = scan.firm_words(spark.createDataFrame(rows, "word string, n bigint"))
+    assert firm.count() == len(rows) - 1 and {x["three"] for x in scan.sequences(firm).collect()} == scan.Reader({}, dict(rows[:-1])).threes
+    for f in (scan.noise, scan.repair):
+        whole, parts = (sorted(map(tuple, f(df, r.editor, firm, most).collect()), key=str) for most in (1000, 10))
+        assert whole == parts and len(whole) > 4
+
+
 # 3 truncation -----------------------------------------------------------------------------------------------------
 
 
