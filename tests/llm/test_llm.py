@@ -92,6 +92,20 @@ def test_rare_classes_match_brute_force(spark):
     assert {tuple(r) for r in lines.recurring_lines(few).collect()} == {(f"c{i}", 0) for i in _due(texts, files, 5)}
 
 
+def test_rare_classes_move_no_lookups(spark):
+    """Cells are counted once; the spellings and their lookups meet the full ones where they lie. Classes by single cells count too."""
+    rng = random.Random(5)
+    base = "documentdiffuseparleportailreglementaireduroyaume"
+    texts = [base] + [base[:i] + x + base[i + 1 :] for i, x in ((3, "w"), (20, "x"), (40, "k"), (12, "q"), (30, "w"), (47, "k"))]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(44)) for _ in range(150)]
+    spellings = lines.materialize(spark.createDataFrame([("BAM", i, t, 1) for i, t in enumerate(texts)], "source string, h bigint, key string, n bigint"), "test")
+    needs = lines.materialize(spark.createDataFrame([("BAM", 7)], "source string, need bigint"), "test")
+    got = lines.rare_classes(spellings, spellings.select("source", "h").limit(0), needs)
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if _levenshtein(a, b) <= 2}
+    assert {(r["h"], r["anchor"]) for r in got.collect()} == {(i, j) for i, j in near if sum(k == j for _, k in near) >= 7}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_eight_spellings_and_joined_letters(spark):
     line = "Une ligne du site qui revient partout ici"
     spelt = [line[:k] + "#" + line[k + 1 :] for k in range(8)]
