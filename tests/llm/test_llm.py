@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +107,51 @@ def test_rare_classes_move_no_lookups(spark):
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rare_keys_of_one_template_are_told_apart_by_letters(spark, monkeypatch):
+    """Lines that differ by a name in the same sentence share nearly all pieces; few of them are compared character by character."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = [name() + ",fautedequoil'agrementpeutetreretire." for _ in range(300)]
+    site = "documentdiffuseparleportailreglementaireduroyaume"
+    texts += [site[:i] + "#" + site[i + 1 :] for i in range(40)]
+    spellings = lines.materialize(spark.createDataFrame([("BAM", i, t, 1) for i, t in enumerate(texts)], "source string, h bigint, key string, n bigint"), "test")
+    needs = lines.materialize(spark.createDataFrame([("BAM", 30)], "source string, need bigint"), "test")
+    written, real = {}, lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: written.setdefault(name, real(df, name)) if name == "line-rare-keys" else real(df, name))
+    got = {(r["h"], r["anchor"]) for r in lines.rare_classes(spellings, spellings.select("source", "h").limit(0), needs).collect()}
+    assert got == {(i, j) for i in range(300, 340) for j in range(300, 340)}
+    assert written["line-rare-keys"].count() == 40
+
+
+def test_rare_classes_by_arrays_and_by_joins_agree(spark, monkeypatch):
+    """Short keys, keys of several bytes a character, two sources; a table without candidates; what is too much to send."""
+    rng = random.Random(8)
+    keys = set()
+    for base in ("abcabc", "a", "\u064a\u062c\u0648\u0632\u0644\u0644\u0645\u0624\u0633\u0633\u0627\u062a\u0627\u0644\u0646\u0634\u0631", "aé€\U0001d54fb" * 5, "leconseildelaconcurrenceetsesservices"):
+        for _ in range(40):
+            x = list(base)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(x) + 1)
+                x[i : i + rng.randrange(2)] = [rng.choice("abé€\u0644")] if rng.random() < 0.7 else []
+            keys.add("".join(x))
+    rows = [(s, h, k, 1 + rng.randrange(3)) for h, (s, k) in enumerate((s, k) for s in ("BAM", "AMMC") for k in sorted(keys) if s == "BAM" or rng.random() < 0.5)]
+    spellings = lines.materialize(spark.createDataFrame(rows, "source string, h bigint, key string, n bigint"), "test")
+    needs = lines.materialize(spark.createDataFrame([("BAM", 12), ("AMMC", 20)], "source string, need bigint"), "test")
+    none = spellings.select("source", "h").limit(0)
+    n, need = {h: n for _, h, _, n in rows}, {"BAM": 12, "AMMC": 20}
+    near = {(s, h, j) for s, h, k, _ in rows for t, j, b, _ in rows if s == t and _levenshtein(k, b) <= 2}
+    reach = Counter()
+    for _, h, j in near:
+        reach[j] += n[h]
+    due = {(s, h, j) for s, h, j in near if reach[j] >= need[s]}
+    arrays = {tuple(r) for r in lines.rare_classes(spellings, none, needs).collect()}
+    assert due and due <= arrays <= near
+    assert lines.rare_classes(spellings, spellings.select("source", "h"), needs).count() == 0
+    monkeypatch.setattr(lines, "MOST_SENT", 0)
+    joins = {tuple(r) for r in lines.rare_classes(spellings, none, needs).collect()}
+    assert due <= joins <= near
+
+
 def test_eight_spellings_and_joined_letters(spark):
     line = "Une ligne du site qui revient partout ici"
     spelt = [line[:k] + "#" + line[k + 1 :] for k in range(8)]
