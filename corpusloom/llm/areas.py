@@ -24,6 +24,7 @@ from functools import lru_cache
 from urllib.parse import unquote
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,27 @@ def _plain() -> dict[int, str]:
     return t | {ord(a): b.lower() for a, b in joined().items()}
 
 
+#: Marks of characters that fold to none or to several, beyond all characters.
+_NONE, _SEVERAL = 0x110000, 0x110001
+
+
+@lru_cache(1)
+def _plain_codes() -> np.ndarray:
+    """`_plain` by character number."""
+    codes = np.arange(_NONE, dtype="<u4")
+    for c, to in _plain().items():
+        codes[c] = ord(to) if len(to) == 1 else _SEVERAL if to else _NONE
+    return codes
+
+
 def fold(text: str) -> str:
-    return text.translate(_plain())
+    if len(text) < 100 or text.isascii():
+        return text.translate(_plain())
+    codes = _plain_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    most = codes.max()
+    if most == _SEVERAL:
+        return text.translate(_plain())
+    return (codes[codes < _NONE] if most == _NONE else codes).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _sequences(sentence: str) -> set[str]:
@@ -124,13 +144,25 @@ def named_lexicon(subject_areas: DataFrame) -> Lexicon:
     return {w: (next(iter(own)), 1) for w, own in owners.items() if len(own) == 1}
 
 
+def needed(lexicon: Lexicon) -> Lexicon:
+    """The lexicon without sequences that hold a shorter sequence of several words of the same area: wherever they stand, that one
+    stands too, in the same sentence, with the same vote."""
+    out = {}
+    for seq, (area, words) in lexicon.items():
+        spans = [m.span() for m in _word.finditer(seq)]
+        parts = (seq[a:b] for k, (a, _) in enumerate(spans) for _, b in spans[k + 1 :] if b - a < spans[-1][1] - spans[0][0])
+        if words < 2 or not any(p in lexicon and lexicon[p][0] == area and lexicon[p][1] > 1 for p in parts):
+            out[seq] = area, words
+    return out
+
+
 class Matcher:
-    """Finds the sequences of a lexicon in folded texts."""
+    """Finds the sequences of a lexicon in folded texts, without those that aren't `needed`."""
 
     def __init__(self, lexicon: Lexicon, areas: list[str]):
         self.number = {a: k for k, a in enumerate(areas)}
         self.automaton = ahocorasick.Automaton()
-        for seq, (area, words) in lexicon.items():
+        for seq, (area, words) in needed(lexicon).items():
             self.automaton.add_word(seq, (len(seq), self.number[area], TERM if words > 1 else WORD, seq))
         if lexicon:
             self.automaton.make_automaton()
@@ -176,17 +208,24 @@ def votes(find: Matcher, text: str, title: str | None, url: str | None, source:
     stops = [m.end() for m in _ends.finditer(body)]
     if not stops or len(body[stops[-1] :].split()) >= 5:
         stops.append(len(body) + 1)
-    at: dict[tuple[int, int], set] = defaultdict(set)
-    last = len(stops) - 1
-    for end, k, kind, seq in find(body):
-        i = bisect_left(stops, end + 1)
-        if i <= last:
-            at[i, k].add(TERM if kind == TERM else seq)
+    at: dict[tuple[int, int], str | int] = {}  # the one word seen so far, or WORDS or TERM
+    last, i = len(stops) - 1, 0
+    stop = stops[0]
+    for end, k, kind, seq in find(body):  # in the order of their ends
+        if end >= stop:
+            i = bisect_left(stops, end + 1, i)
+            if i > last:
+                break
+            stop = stops[i]
+        if kind == TERM:
+            at[i, k] = TERM
+        elif (seen := at.setdefault((i, k), seq)) != seq and seen != TERM:
+            at[i, k] = WORDS
     address = find.named(unquote(url or "").replace("-", " "))
     section = find.named(title or "")
     out: Counter = Counter()
     for (_, k), seen in at.items():
-        out[k, TERM if TERM in seen else WORDS if len(seen) > 1 else WORD, k in address, k in section] += 1
+        out[k, seen if seen in (TERM, WORDS) else WORD, k in address, k in section] += 1
     for k in address | section:
         if silent := len(stops) - sum(n for (a, *_), n in out.items() if a == k):
             out[k, 0, k in address, k in section] += silent

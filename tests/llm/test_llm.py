@@ -569,6 +569,45 @@ def test_latent_model_prefers_accurate_functions():
     assert wrong / 20000 < 0.03
 
 
+def test_votes_by_the_needed_sequences_only_equal_those_by_all():
+    # two words tell the area already: longer sequences with them aren't searched for, unless they tell another area
+    said = ["coussin de tresorerie", "le coussin de tresorerie", "coussin de tresorerie mobile", "le coussin de tresorerie mobile"]
+    lex = {x: ("liquidity", len(x.split())) for x in said} | {"le coussin": ("payments", 2), "tresorerie": ("liquidity", 1), "solvabilite": ("liquidity", 1), "virements": ("payments", 1)}
+    find = areas.Matcher(lex, names := ["liquidity", "payments"])
+    assert set(find.automaton) == {"coussin de tresorerie", "le coussin", "tresorerie", "solvabilite", "virements"}
+    every = areas.Matcher({}, names)
+    for x, (area, n) in lex.items():
+        every.automaton.add_word(x, (len(x), names.index(area), areas.TERM if n > 1 else areas.WORD, x))
+    every.automaton.make_automaton()
+    every.empty = False
+    rng = random.Random(4)
+    words = ["le", "coussin", "de", "trésorerie", "mobile", "solvabilité", "virements", "où", "fin.", "fin. Le", "\n", "وcoussin", "coussin de trésorerie", "e\u0301t", "ﬁn"]
+    for _ in range(300):
+        text, title, url = (" ".join(rng.choices(words, k=k)) for k in (rng.randrange(1, 60), 4, 4))
+        body, seen = areas._running_text(text, title, ""), {}
+        stops = [m.end() for m in areas._ends.finditer(body)]
+        if not stops or len(body[stops[-1] :].split()) >= 5:
+            stops.append(len(body) + 1)
+        for end, k, kind, x in every(body):
+            if (i := sum(stop <= end for stop in stops)) < len(stops):
+                seen.setdefault((i, k), set()).add(areas.TERM if kind == areas.TERM else x)
+        ways, want = (every.named(url.replace("-", " ")), every.named(title)), Counter()
+        for (_, k), x in seen.items():
+            want[k, areas.TERM if areas.TERM in x else min(len(x), areas.WORDS), k in ways[0], k in ways[1]] += 1
+        for k in ways[0] | ways[1]:
+            want[k, 0, k in ways[0], k in ways[1]] += len(stops) - sum(n for (a, *_), n in want.items() if a == k)
+        assert areas.votes(find, text, title, url, None) == (len(stops), +want)
+
+
+def test_long_texts_fold_as_short_ones():
+    every = "".join(map(chr, range(0x110000)))
+    parts = [every[i : i + 90] for i in range(0, len(every), 90)]
+    short = list(map(areas.fold, parts))
+    assert areas.fold(every) == "".join(short)
+    for i in range(0, len(parts), 3):
+        assert areas.fold("".join(parts[i : i + 3])) == "".join(short[i : i + 3])
+
+
 # all --------------------------------------------------------------------------------------------------------------
 
 
