@@ -17,7 +17,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,7 @@ class CharacterEditor:
     def __init__(self, weights: dict[str, dict[str, float]] | None = None):
         self.weights = weights or {}
         self.places: dict[str, list[tuple[float, str]]] = {}
+        self.inner: dict[str, list[tuple[float, str]]] = {}
 
     @classmethod
     def fit(cls, pairs: list[tuple[str, str]], line_ends: list[tuple[tuple[str, ...], str]] = (), lines: list[tuple[tuple[str, ...], str]] = (), epochs: int = EPOCHS) -> CharacterEditor:
@@ -110,20 +112,37 @@ class CharacterEditor:
         return max(s, key=lambda k: (s[k], k == "K"))
 
     def _at(self, word: str, i: int) -> list[tuple[float, str]]:
-        """(score over keeping, edit) at one place; places of equal surroundings are worked out once."""
+        """(score over keeping, edit) at one place, best first; places of equal surroundings are worked out once."""
         w = f"^^{word}$$"[i : i + 5]
         known = self.places.get(w)
         if known is None:
-            s: dict[str, float] = {}
-            for f in _features(word, i):
-                for label, x in self.weights.get(f, {}).items():
-                    s[label] = s.get(label, 0.0) + x
-            keep = s.pop("K", 0.0)
             if len(self.places) > 300_000:
                 self.places.clear()
-            known = self.places[w] = [(x - keep, label) for label, x in s.items()]
+                self.inner.clear()
+            *near, p, s = _features(word, i)
+            wide = [self.weights[f] for f in (p, s) if f in self.weights]
+            if wide or (known := self.inner.get(near[-1])) is None:  # few places have a feature wider than their neighbours
+                scores: dict[str, float] = {}
+                for some in (*[self.weights[f] for f in near if f in self.weights], *wide):
+                    for label, x in some.items():
+                        scores[label] = scores.get(label, 0.0) + x
+                keep = scores.pop("K", 0.0)
+                known = sorted(((x - keep, label) for label, x in scores.items()), reverse=True)
+                if not wide:
+                    self.inner[near[-1]] = known
+            self.places[w] = known
         return known
 
+    def _edits(self, word: str, places: Iterable[int], least: float) -> list[tuple[float, int, str, int]]:
+        """(score, place, edit, sequences of three letters that it touches) of the edits of at least the score `least`."""
+        out = []
+        for i in places:
+            for x, label in self._at(word, i):
+                if x < least:
+                    break
+                out.append((x, i, label, (0b111 if label[0] != "I" else 0b11) << i >> 1))
+        return out
+
     def prefers(self, feats: tuple[str, ...], a: str, b: str) -> float | None:
         """The score of label a over b; None if nothing was learned about either."""
         known = [self.weights[f] for f in feats if f in self.weights]
@@ -140,7 +159,13 @@ class CharacterEditor:
         low = bad & -bad
         if bad & ~(low * 0b111) and (rest := bad & ~(low * 0b111)) & ~((rest & -rest) * 0b111):
             return []  # an edit touches three neighbouring sequences at most, so two don't reach all of these
-        edits = [(x, i, label, (0b111 if label[0] != "I" else 0b11) << i >> 1) for i in range(len(word) + 1) for x, label in self._at(word, i) if x >= least]
+        if low:  # one edit at least touches the first of them; without one that may be of two, other places don't matter
+            at = low.bit_length() - 1
+            edits = [e for e in self._edits(word, range(max(0, at - 1), min(len(word), at + 1) + 1), least) if e[3] & low]
+            if any(e[0] >= LEAST_TWO for e in edits):
+                edits = self._edits(word, range(len(word) + 1), least)
+        else:
+            edits = self._edits(word, range(len(word) + 1), least)
         found = [(s, apply_edits(word, [(i, op)])) for s, i, op, touched in edits if not bad & ~touched]
         both = [e for e in edits if e[0] >= max(LEAST_TWO, least)]
         for x, (s1, i1, o1, t1) in enumerate(both):
@@ -213,6 +238,21 @@ def words_of(line: str) -> list[str]:
     return out
 
 
+@lru_cache(100_000)
+def _words_of_token(token: str) -> tuple[str, ...]:
+    return tuple(words_of(token))
+
+
+def _first_token(line: str) -> str:
+    """The first of print_alike(line).lower().split(), or an empty text."""
+    return next((x[0] for t in line.split() if (x := print_alike(t).lower().split())), "")
+
+
+def _last_token(line: str) -> str:
+    """The last of print_alike(line).lower().split(); there is one."""
+    return next(x[-1] for t in reversed(line.split()) if (x := print_alike(t).lower().split()))
+
+
 def aligned_words(scanned: str, native: str) -> list[tuple[str, str]]:
     """Pairs of words of a scanned page and its correct text, by aligning the two lists of words."""
     from difflib import SequenceMatcher
@@ -246,8 +286,8 @@ def _halves(line: str, after: str) -> tuple[str, str] | None:
     """The two parts of a word that the end of a line divides."""
     if not line or line[-1] not in _hyphens or not line[-2:-1].isalpha():
         return None
-    right = (print_alike(after).lower().split() or [""])[0].rstrip(_outer)
-    left = print_alike(line[:-1]).lower().split()[-1].lstrip(_outer)
+    right = _first_token(after).rstrip(_outer)
+    left = _last_token(line[:-1]).lstrip(_outer)
     return (_apart.split(left)[-1], _apart.split(right)[0]) if right and right[0].isalpha() else None
 
 
@@ -326,7 +366,9 @@ class Reader:
         self.threes = {p[i : i + 3] for w in firm for p in (f"^{w}$",) for i in range(len(p) - 2)} if threes is None else threes
         self.fixed: dict[str, str | None] = {}
         self.tokens: dict[str, int] = {}
-        self.title: tuple[str, str, set, set] = ("", "", set(), set())
+        self.plain: set[str] = set()  # tokens of 0 in `tokens`
+        self.titles: dict[str, tuple[str, set, set]] = {}
+        self.headers: dict[tuple[str, str], bool] = {}
 
     def fix(self, word: str) -> str | None:
         """The firm word that the editor makes of an unknown word, if any."""
@@ -348,22 +390,38 @@ class Reader:
         """The running title, whole or shortened, perhaps with a page number or the reference."""
         if not title:
             return False
-        if self.title[0] != title:
+        known = self.titles.get(title)
+        if known is None:
+            if len(self.titles) > 20_000:
+                self.titles.clear()
             t = fold(title)
-            self.title = (title, "".join(t.split()), {w for w in re.findall(r"\w+", t) if len(w) > 1}, set(title.lower().split()))
-        _, full, words, tokens = self.title
+            known = self.titles[title] = ("".join(t.split()), {w for w in re.findall(r"\w+", t) if len(w) > 1}, set(title.lower().split()))
+        full, words, tokens = known
         here = line.lower().split()
-        if len(tokens.intersection(here)) < max(2, 0.4 * len(here)):  # most lines of the text end here
+        same = len(tokens.intersection(here))
+        if same < 2 or same < 0.4 * len(here):  # most lines of the text end here
             return False
+        found = self.headers.get((title, line))
+        if found is None:  # a running title stands on many pages
+            if len(self.headers) > 100_000:
+                self.headers.clear()
+            found = self.headers[title, line] = self._is_header(line, full, words)
+        return found
+
+    @staticmethod
+    def _is_header(line: str, full: str, words: set[str]) -> bool:
         flat = fold(line)
         own = [w for w in re.findall(r"\w+", flat) if len(w) > 1 and not w.isdigit()]
         if len(own) < 2:
             return False
-        for core in (_endings.sub("", flat), _reference.sub("", _endings.sub("", flat))):
+        if len(own) >= 4 and sum(w in words for w in own) >= 0.85 * len(own) and not flat.rstrip().endswith("."):
+            return True
+        whole = _endings.sub("", flat)
+        for core in {whole, _reference.sub("", whole)}:
             c = "".join(core.rstrip(".… ").split())
             if len(c) >= 10 and abs(len(c) - len(full[: len(c)])) <= 2 and _near(c, full[: len(c)], max(2, len(c) // 8)):
                 return True
-        return len(own) >= 4 and sum(w in words for w in own) >= 0.85 * len(own) and not flat.rstrip().endswith(".")
+        return False
 
     def page_of(self, line: str, first: int | None, last: int | None) -> bool:
         m = _pagelike.match(line)
@@ -371,9 +429,9 @@ class Reader:
 
     def looks(self, lines: list[str], i: int, title: str | None, first: int | None, last: int | None) -> str | None:
         """What kind of furniture the line looks like, by its own text."""
-        if self.page_of(lines[i], first, last):
+        if first is not None and self.page_of(lines[i], first, last):
             return None if self._in_table(lines, i) else "page"
-        return "header" if self.is_header(lines[i], title) else None
+        return "header" if title and self.is_header(lines[i], title) else None
 
     def kinds(self, text: str, title: str | None, first: int | None, last: int | None) -> list[tuple[int, str]]:
         lines = text.split("\n")
@@ -407,8 +465,8 @@ class Reader:
 
     def divided(self, line: str, after: str) -> bool:
         """Whether the hyphen at the end stands only for the line end."""
-        left = print_alike(line[:-1]).lower().split()[-1].lstrip(_outer)
-        right = (print_alike(after).lower().split() or [""])[0].rstrip(_outer)
+        left = _last_token(line[:-1]).lstrip(_outer)
+        right = _first_token(after).rstrip(_outer)
         if not right or not right[0].isalpha():
             return not right
         half = _apart.split(left)[-1]
@@ -426,14 +484,19 @@ class Reader:
 
     def misread(self, tokens: list[str]) -> bool:
         """Whether a word is misread, or is a firm word only together with its neighbour."""
+        if self.plain.issuperset(tokens):
+            return False
         known = self.tokens
         judged = list(map(known.get, tokens))
         if None in judged:
             if len(known) > 500_000:
                 known.clear()
+                self.plain.clear()
             for t in tokens:
                 if t not in known:
                     known[t] = self._judge(t)
+                    if not known[t]:
+                        self.plain.add(t)
             judged = [known[t] if t in known else self._judge(t) for t in tokens]
         if not any(judged):
             return False
@@ -447,7 +510,7 @@ class Reader:
         return False
 
     def _one_word(self, a: str, b: str) -> bool:
-        x, y = words_of(a), words_of(b)
+        x, y = _words_of_token(a), _words_of_token(b)
         whole = x[-1] + y[0] if x and y else ""
         return len(whole) > 3 and whole in self.firm and (x[-1] not in self.firm or y[0] not in self.firm)
 
@@ -489,7 +552,7 @@ class Reader:
 
 def _near(a: str, b: str, most: int) -> bool:
     """Edit distance of at most `most`. One edit destroys at most two pairs of neighbours, so texts with too few common
-    pairs are told apart at once; the others are compared along the diagonal only."""
+    pairs are told apart at once; the others are compared along the diagonal only, as far as they can still be near."""
     if a == b:
         return True
     if abs(len(a) - len(b)) > most:
@@ -497,6 +560,10 @@ def _near(a: str, b: str, most: int) -> bool:
     pairs = set(map(str.__add__, b, b[1:]))
     if sum(map(pairs.__contains__, map(str.__add__, a, a[1:]))) < len(a) - 1 - 2 * most:
         return False
+    while a and b and a[0] == b[0]:  # equal ends cost nothing
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     far = most + 1
     row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
@@ -506,6 +573,8 @@ def _near(a: str, b: str, most: int) -> bool:
             if j:
                 best = min(best, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
             new[j] = best
+        if min(new.values(), default=far) > most:
+            return False
         row = new
     return row.get(len(b), far) <= most
 
@@ -550,6 +619,7 @@ class _Asker(Reader):
         self.firm = _Facts(known)
         self.fixed.clear()
         self.tokens.clear()
+        self.plain.clear()
         return self
 
     def fix(self, word: str) -> str | None:

@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,22 @@ def test_recurring_lines_with_noise(spark):
     assert clean["c0"] == "Texte propre a\n" and clean["n1"] is None and clean["few"] == rows[-2][1]
 
 
+def test_lines_fold_by_arrays_as_defined_character_by_character(spark):
+    rng = random.Random(2)
+    alpha = [*"aé0129.,;  \t\r\n\n", "\ufb01", "\ufdfa", "\ufefb", "\u0663", "\uff41", "e\u0301", "\xa0", "\U0001d54f", "\u200b", "\u0132", "\u2003", "\u2019", "\u0410", "\u0130"]
+    texts = ["".join(rng.choices(alpha, k=rng.randrange(200))) for _ in range(400)] + ["", "\n", " " * 40, "x" * 29, f"  {'y' * 30} ", "0.0,00 1" + "z" * 30, "1" * 40 + "\n" + "2" * 40, None]
+    table, want = forms.fold_table(), set()
+    for i, text in enumerate(texts):
+        for no, line in enumerate((text or "").split("\n")):
+            if len(line.strip(" ")) >= lines.MIN_CHARS:
+                x = "".join(table.get(c, c) for c in "".join(forms.joined().get(c, c) for c in line))
+                want.add((f"c{i}", no, re.sub("0+(?:[.,]0+)*", "0", x)))
+    df = lines.folded_lines(spark.createDataFrame([(f"c{i}", t, "f", "BAM", "") for i, t in enumerate(texts)] + [("none", "n" * 40, "f", None, "")], CHUNK))
+    got = df.collect()
+    assert {(r["rec"], r["line_no"], r["key"]) for r in got} == want and len(got) == len(want) > 200
+    assert "translate" not in df._jdf.queryExecution().executedPlan().toString()  # a look-up of a text for each character
+
+
 def test_members_match_brute_force(spark):
     rng = random.Random(1)
     base = ["abonnez vous a la lettre hebdomadaire du guichet", "document diffuse par le portail reglementaire"]
@@ -267,6 +284,49 @@ def test_vocabulary_of_any_size_gives_the_same(spark):
         assert whole == parts and len(whole) > 4
 
 
+def test_fix_equals_all_edits_and_looks_at_few_places(monkeypatch):
+    """Where a sequence of three letters is unknown, edits elsewhere are looked at only if they can be one of two."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 9)))
+    firm = {word(): 3 for _ in range(40)}
+    labels = ["D", "K", *(o + c for o in "RI" for c in "abcd")]
+    words = {word() for _ in range(300)} - set(firm) | {"abcdxabcd", "dcbax"}
+    feats = sorted({f for w in words for i in range(len(w) + 1) for f in scan._features(w, i)})
+    weights = {f: {x: rng.uniform(-2, 1) for x in rng.sample(labels, 4)} for f in rng.sample(feats, len(feats) // 2)}
+    r, found = scan.Reader(weights, firm), 0
+    for w in words:
+        least, edits = next(x for n, x in scan.LEAST if len(w) < n), []
+        for i in range(len(w) + 1):
+            of: dict = {}
+            for f in scan._features(w, i):
+                for label, x in weights.get(f, {}).items():
+                    of[label] = of.get(label, 0.0) + x
+            keep = of.pop("K", 0.0)
+            edits += [(x - keep, i, label) for label, x in of.items() if x - keep >= least]
+        every = [(x, scan.apply_edits(w, [(i, o)])) for x, i, o in edits]
+        both = [e for e in edits if e[0] >= max(scan.LEAST_TWO, least)]
+        every += [(min(a[0], b[0]) - scan.TWO, scan.apply_edits(w, [a[1:], b[1:]])) for k, a in enumerate(both) for b in both[k + 1 :] if a[1] != b[1]]
+        want = next((x for _, x in sorted(every, reverse=True) if len(x) > 1 and x in firm), None)
+        assert r.fix(w) == want
+        found += want is not None
+    assert found > 20
+    r = scan.Reader({"ca": {"Ro": 2.0}, "ce": {"Ri": -2.0}}, {"bonjourlesamis": 3})
+    looked, real = [], scan.CharacterEditor._at
+    monkeypatch.setattr(scan.CharacterEditor, "_at", lambda self, w, i: looked.append(i) or real(self, w, i))
+    assert r.fix("bonjourlxsamis") is None and len(looked) == 3
+
+
+def test_running_title_is_judged_once(monkeypatch):
+    judged, real = [], scan._near
+    monkeypatch.setattr(scan, "_near", lambda *x: judged.append(x) or real(*x))
+    r = scan.Reader({}, {})
+    title, line = "Circulaire relative au porte-monnaie mobile", "Circulaire relative aux porte"
+    assert [r.is_header(line, t) for t in (title, "Note", title, None)] == [True, False, True, False] and len(judged) == 1
+    for a, b in (("abcdefgh", "abxdefgh"), ("abcdefgh", "bcdefghi"), ("aaaa", "aa"), ("", "ab"), ("abc", ""), ("xaaay", "yaaax"), ("abcabcabc", "abcabc")):
+        for most in range(5):
+            assert real(a, b, most) == (_levenshtein(a, b) <= most), (a, b, most)
+
+
 # 3 truncation -----------------------------------------------------------------------------------------------------
 
 
