@@ -41,6 +41,8 @@ FIRM_SEEN, FIRM_MOST = 3, 3_000_000
 LEAST = ((4, 0.0), (6, -1.0), (1 << 30, -3.0))
 #: Two edits of one word count as so much less likely than the worse of them, which has this score at least.
 TWO, LEAST_TWO = 0.5, -0.5
+#: Longer words (codes of thousands of characters) have edits by the million; these are looked at only if a firm word is near.
+LONG = 24
 
 _hyphens = "-‐‑¬\xad"
 _outer = " \t\r.,;:()[]{}«»“”\"?؟،؛…!|*•–—-‐‑¬\xad"
@@ -364,6 +366,11 @@ class Reader:
     def __init__(self, weights: dict, firm: dict[str, int], threes: set[str] | None = None):
         self.editor, self.firm = CharacterEditor(weights), firm
         self.threes = {p[i : i + 3] for w in firm for p in (f"^{w}$",) for i in range(len(p) - 2)} if threes is None else threes
+        #: The long firm words by length, where all firm words are known.
+        self.long: dict[int, list[str]] | None = defaultdict(list) if threes is None else None
+        for w in firm if threes is None else ():
+            if len(w) >= LONG - 1:
+                self.long[len(w)].append(w)
         self.fixed: dict[str, str | None] = {}
         self.tokens: dict[str, int] = {}
         self.plain: set[str] = set()  # tokens of 0 in `tokens`
@@ -383,6 +390,8 @@ class Reader:
     def _fix(self, word: str) -> str | None:
         if len(word) < 2 or not self.editor.weights:
             return None
+        if len(word) > LONG and self.long is not None and not any(_near(word, w, 2) for n in range(len(word) - 2, len(word) + 3) for w in self.long.get(n, ())):
+            return None
         least = next(x for n, x in LEAST if len(word) < n)
         return next((w for _, w in self.editor.proposals(word, least, self.threes) if len(w) > 1 and w in self.firm), None)
 
@@ -560,10 +569,10 @@ def _near(a: str, b: str, most: int) -> bool:
     pairs = set(map(str.__add__, b, b[1:]))
     if sum(map(pairs.__contains__, map(str.__add__, a, a[1:]))) < len(a) - 1 - 2 * most:
         return False
-    while a and b and a[0] == b[0]:  # equal ends cost nothing
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))  # equal ends cost nothing
+    a, b = a[i:], b[i:]
+    i = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - i], b[: len(b) - i]
     far = most + 1
     row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):

@@ -316,6 +316,22 @@ def test_fix_equals_all_edits_and_looks_at_few_places(monkeypatch):
     assert r.fix("bonjourlxsamis") is None and len(looked) == 3
 
 
+def test_long_codes_are_edited_only_near_a_firm_word(monkeypatch):
+    """A code of thousands of characters with known sequences of three letters has millions of pairs of edits."""
+    rng = random.Random(7)
+    code = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    firm = {x: 3 for x in (code(3000), code(40), code(25))}
+    weights = {f"c{c}": {"Ra": 1.0, "Rb": 0.5, "D": 0.2} for c in "abcdefx"}
+    asked, real = [], scan.CharacterEditor.proposals
+    monkeypatch.setattr(scan.CharacterEditor, "proposals", lambda self, w, *x: asked.append(len(w)) or real(self, w, *x))
+    r = scan.Reader(weights, firm)
+    assert r.fix(code(3000)) is None and r.fix(code(3003)) is None and r.fix(code(40)) is None and not asked
+    for w in list(firm)[1:]:
+        i = w.index("a", 5)
+        assert r.fix(w[:i] + "x" + w[i + 1 :]) == w and r.fix(w[:i] + "xx" + w[i + 1 :]) == w
+    assert asked
+
+
 def test_running_title_is_judged_once(monkeypatch):
     judged, real = [], scan._near
     monkeypatch.setattr(scan, "_near", lambda *x: judged.append(x) or real(*x))
